@@ -40,13 +40,14 @@ def convert_clock(df: DataFrame, source: str, target: str, ts: str = TS) -> Data
 
 
 def unique_times(cov: DataFrame, order: str = "source_ts") -> DataFrame:
-    """One covariate row per time (and series): the first by ``order``.
+    """One covariate row per time (and series): the first by ``order``, which
+    may be one of the covariates.
 
     ``n_copies`` tells how many rows shared the time. Combined before the
     shuffle.
     """
     keys = [c for c in (SERIES, TS) if c in cov.columns]
-    rest = [c for c in cov.columns if c not in (*keys, order)]
+    rest = [c for c in cov.columns if c not in (*keys, "source_ts")]
     return cov.groupBy(*keys).agg(
         *[F.min_by(c, order).alias(c) for c in rest], F.count(F.lit(1)).alias("n_copies")
     )

@@ -103,8 +103,8 @@ def forecast(
         marked = marked.withColumns({c: cal[c] for c in static})
     if "role" not in marked.columns:
         marked = marked.withColumn("role", F.when(train, "training").otherwise("validation") if train is not None else F.lit("training"))
-    rows = supervised(marked, step_seconds, lookback, horizon, static=static)
-    fit = rows.where("role = 'training'")
+    rows = supervised(marked, step_seconds, lookback, horizon, static=static, keep_open=True)
+    fit = rows.where("fit_ok")
     if model == "LinearRegression":
         coef = fit_linear(fit.select(SERIES, "x", "y"), [SERIES], ridge=params.get("ridge", 0.0))
         return predict_linear(rows.where("is_origin"), coef, step_seconds, horizon)
@@ -260,7 +260,7 @@ def forward_forecast(
     grid = prepare(context, step_seconds)
     if model == "NaiveSeasonal":
         return baselines.seasonal_naive(grid, origins, step_seconds, horizon, (params or {}).get("period"))
-    ahead = over_horizon(origins, step_seconds, horizon).select(SERIES, TS, F.lit(0.0).alias(LOAD), F.lit(False).alias("_known"))
+    ahead = over_horizon(origins, step_seconds, horizon).select(SERIES, TS, F.lit(None).cast("double").alias(LOAD), F.lit(False).alias("_known"))
     rows = grid.select(SERIES, TS, LOAD, F.lit(True).alias("_known")).unionByName(ahead)
     starts = readings_length(grid)
     f = forecast(

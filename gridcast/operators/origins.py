@@ -79,7 +79,7 @@ def supervised(
     future: Sequence[str] = (),
     static: Sequence[str] = (),
     target: str = LOAD,
-    with_targets: bool = True,
+    keep_open: bool = False,
 ) -> DataFrame:
     """Direct multi-step rows: features ``x`` and targets ``y`` per time.
 
@@ -88,6 +88,10 @@ def supervised(
     origin (calendar of the target time). ``y`` = the next ``horizon`` targets.
     Windows reach into neighbouring blocks through halos and are dropped when
     they would leave a chunk (``chunk_id``, where present) or hold a NULL.
+    ``keep_open`` keeps rows whose targets are not complete, as an origin at
+    the end of the data needs. ``fit_ok`` is true where the targets are
+    complete and, with a ``role`` column, the whole window lies in training
+    rows: no target of the validation part leaks into a fit.
     """
     keep = [c for c in df.columns if c not in (BLK,)]
     reach = max(lookback, horizon)
@@ -104,16 +108,24 @@ def supervised(
     ok = F.col("_own")
     for n, w in zip(names, widths):
         ok = ok & (F.size(n) == w)
-    if with_targets:
-        d = d.withColumn("y", F.collect_list(target).over(ahead))
-        ok = ok & (F.size("y") == horizon)
+    w = Window.partitionBy(SERIES, BLK).orderBy(TS)
+    d = d.withColumn("y", F.collect_list(target).over(ahead))
+    whole = F.size("y") == horizon
     if "chunk_id" in keep:
-        first = F.lag("chunk_id", lookback).over(Window.partitionBy(SERIES, BLK).orderBy(TS))
-        d = d.withColumn("_first", first)
+        d = d.withColumn("_first", F.lag("chunk_id", lookback).over(w)).withColumn(
+            "_last", F.lead("chunk_id", horizon - 1).over(w)
+        )
         ok = ok & (F.col("_first") == F.col("chunk_id"))
-        if with_targets:
-            d = d.withColumn("_last", F.lead("chunk_id", horizon - 1).over(Window.partitionBy(SERIES, BLK).orderBy(TS)))
-            ok = ok & (F.col("_last") == F.col("chunk_id"))
+        whole = whole & (F.col("_last") == F.col("chunk_id"))
+    trains = whole
+    if "role" in keep:
+        d = d.withColumn(
+            "_train", F.min((F.col("role") == "training").cast("int")).over(_frame(-lookback, horizon - 1))
+        )
+        trains = whole & (F.col("_train") == 1)
+    d = d.withColumn("fit_ok", F.coalesce(trains, F.lit(False)))
+    if not keep_open:
+        ok = ok & whole
     x = F.concat(*[F.col(n) for n in names], *([F.array(*[F.col(c).cast("double") for c in static])] if static else []))
     extra = [c for c in ("idx", "n_rows", "is_origin", "role", "chunk_id", "season") if c in keep]
-    return d.where(ok).select(SERIES, TS, *extra, x.alias("x"), *(["y"] if with_targets else []))
+    return d.where(ok).select(SERIES, TS, *extra, "fit_ok", x.alias("x"), "y")

@@ -29,13 +29,23 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
             continue
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = steady_round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
+# Exact halves are common in means of cents; a shifted rounding point keeps two
+# engines on the same side of them.
+ROUND_AT, ROUND_LIMIT = 0.503, 9e11
+
+
+def steady_round(c, digits: int):
+    unit = float(10**digits)
+    return F.when(F.abs(c) < ROUND_LIMIT, F.floor(c * unit + ROUND_AT) / unit).otherwise(c)
+
+
 def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a query under its inventory id and the SQL equal to it."""
 
@@ -55,7 +65,11 @@ def query(name: str, sql: str | None = None, digits: int = 6):
 
 def rounded(sql: str, columns: str, digits: int = 6) -> str:
     """Round the named columns of a SELECT the way :func:`present` does."""
-    body = ", ".join(f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in columns.split())
+    unit = f"1e{digits}"
+    body = ", ".join(
+        f'CASE WHEN abs("{c}") < {ROUND_LIMIT} THEN floor("{c}" * {unit} + {ROUND_AT}) / {unit} ELSE "{c}" END AS "{c}"'
+        for c in columns.split()
+    )
     return f"SELECT * REPLACE ({body}) FROM ({sql})"
 
 
@@ -166,7 +180,7 @@ filled AS (SELECT series_id, ts, CASE WHEN load IS NOT NULL THEN load
 
 def origins_sql(lookback: int, horizon: int, stride: int, fraction: float = 0.2) -> str:
     """CTEs ``idx`` and ``origins`` over ``filled``."""
-    return f"""idx AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i,
+    return f"""idx AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i,
   count(*) OVER (PARTITION BY series_id) AS n FROM filled),
 origins AS (SELECT series_id, ts AS origin_ts, i FROM (
   SELECT *, greatest({lookback}, floor(n * {fraction}::DOUBLE))::BIGINT AS s FROM idx)
@@ -176,10 +190,11 @@ origins AS (SELECT series_id, ts AS origin_ts, i FROM (
 def scored_sql(source: str = "hourly", step: str = "HOUR", lookback: int = 24, horizon: int = 24, stride: int = 24, period: int = 24, fraction: float = 0.2) -> str:
     """CTEs ending in ``scored``: the seasonal naive backtest of a source."""
     return f"""{filled_sql(source, step)}, {origins_sql(lookback, horizon, stride, fraction)},
-scored AS (SELECT o.series_id, 'NaiveSeasonal' AS model, o.origin_ts, x.h, t.ts, s.load AS yhat, t.load AS actual
-  FROM origins o CROSS JOIN (SELECT unnest(generate_series(1, {horizon})) AS h) x
-  JOIN idx t ON t.series_id = o.series_id AND t.i = o.i + x.h - 1
-  JOIN idx s ON s.series_id = o.series_id AND s.i = o.i - {period} + (x.h - 1) % {period})"""
+steps AS MATERIALIZED (SELECT series_id, origin_ts, h, i + h - 1 AS ti, i - {period} + (h - 1) % {period} AS si
+  FROM (SELECT *, unnest(generate_series(1, {horizon})) AS h FROM origins)),
+scored AS (SELECT f.series_id, 'NaiveSeasonal' AS model, f.origin_ts, f.h, t.ts, s.load AS yhat, t.load AS actual
+  FROM steps f JOIN idx t ON t.series_id = f.series_id AND t.i = f.ti
+  JOIN idx s ON s.series_id = f.series_id AND s.i = f.si)"""
 
 
 METRIC_SQL = """count(*) AS n, sqrt(avg((actual - yhat) ** 2)) AS rmse, avg(abs(actual - yhat)) AS mae,

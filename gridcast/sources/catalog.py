@@ -92,4 +92,4 @@ def median_gap(df: DataFrame, keys: list[str]) -> DataFrame:
     gaps = b.where(F.col("prev_ts").isNotNull()).groupBy(
         *keys, (epoch("ts") - epoch("prev_ts")).alias("gap")
     ).agg(F.count(F.lit(1)).alias("n"))
-    return gaps.groupBy(*keys).agg(F.percentile("gap", F.lit(0.5), "n").alias("median_gap_s"))
+    return gaps.groupBy(*keys).agg(F.percentile("gap", F.lit(0.5), F.col("n")).alias("median_gap_s"))

@@ -23,7 +23,7 @@ def regular_load(stream: DataFrame, step: str = "1 hour", late: str = "2 hours",
     """
     agg = {"sum": F.sum, "avg": F.avg}[how](LOAD)
     return (
-        stream.select(SERIES, TS, LOAD)
+        stream.select(SERIES, F.col(TS).cast("timestamp").alias(TS), LOAD)  # watermarks need an instant; the session is UTC
         .withWatermark(TS, late)
         .groupBy(SERIES, F.window(TS, step).alias("w"))
         .agg(agg.alias(LOAD), F.count(F.lit(1)).alias("n_readings"))
