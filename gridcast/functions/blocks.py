@@ -31,6 +31,14 @@ BLOCK_STEPS = 1024
 SALTS = 32
 
 
+def present(*columns: str) -> Column:
+    """All columns are non-null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def block_seconds(step_seconds: int, halo_steps: int = 0) -> int:
     """Length of a block; at least eight halos, so copies stay below 25 %."""
     return step_seconds * max(BLOCK_STEPS, 8 * halo_steps)
@@ -84,12 +92,17 @@ def with_summary(
     ``aggs`` summarise one block; ``outs(before, after, whole)`` are window
     expressions over the block summaries of a series.
     """
+    # stated on the shared input, so that both branches read the same exchange
+    df = df.where(present(*keys, BLK))
     order = Window.partitionBy(*keys).orderBy(BLK)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy(*keys)
-    summary = df.groupBy(*keys, BLK).agg(*aggs).select(*keys, BLK, *outs(before, after, whole))
-    return df.join(summary, [*keys, BLK])
+    # every column is touched here, else Spark prunes this branch and shuffles a
+    # narrower copy of the rows next to the full one
+    touched = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("_touched")
+    summary = df.groupBy(*keys, BLK).agg(*aggs, touched).where("_touched IS NOT NULL")
+    return df.join(summary.select(*keys, BLK, *outs(before, after, whole)), [*keys, BLK])
 
 
 def row_index(
@@ -198,7 +211,7 @@ def exact_percentiles(
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
     v = (
-        df.where(F.col(value).isNotNull())
+        df.where(present(value, *keys))
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(n.cast("long").alias("_n"))
     )

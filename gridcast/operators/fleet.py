@@ -16,10 +16,11 @@ from gridcast.functions.blocks import LOAD, SERIES, TS, attach
 from gridcast.functions.time import STEP_SECONDS, add_seconds, calendar, epoch, steps_per_day
 from gridcast.operators import baselines, intervals, metrics
 from gridcast.operators.checks import SPARE_ROWS
-from gridcast.operators.grid import chunks, fill_all, regular_grid
+from gridcast.operators.grid import fill_all, regular_grid
 from gridcast.operators.learners import fit_linear, fit_trees, predict_linear, predict_trees
 from gridcast.operators.origins import mark_origins, over_horizon, rolling_origins, supervised
 from gridcast.operators.splits import seasonal_split, sequential_split
+from gridcast.session import settle
 from gridcast.sources.registry import model_id
 
 # Assumed power draw in watts.
@@ -52,8 +53,12 @@ def energy_kwh(model: str, seconds: float) -> float:
 
 
 def prepare(readings: DataFrame, step_seconds: int) -> DataFrame:
-    """Readings on a regular grid without holes (one shuffle of the rows)."""
-    return fill_all(regular_grid(readings, step_seconds), step_seconds)
+    """Readings on a regular grid without holes (one shuffle of the rows).
+
+    Every forecaster reads the grid several times (origins, sources, actual
+    values), so it is settled here.
+    """
+    return settle(fill_all(regular_grid(readings, step_seconds), step_seconds))
 
 
 def split_failures(readings: DataFrame, lookback: int, horizon: int) -> tuple[DataFrame, DataFrame]:
@@ -118,13 +123,12 @@ def backtest(
 ) -> dict[str, DataFrame]:
     """Roll a model over history and score it in every way.
 
-    One scored table feeds all blocks; it is persisted because each block is
-    its own aggregate. Bands come from the residuals of the first half of the
+    One settled table of scored rows feeds all blocks. Bands come from the residuals of the first half of the
     windows and are scored on the rest.
     """
     grid = prepare(readings, step_seconds)
     f = forecast(grid, step_seconds, model, lookback, horizon, stride=stride, **kwargs)
-    scored = metrics.score(f, grid).persist()
+    scored = settle(metrics.score(f, grid))
     flat = metrics.flatten(scored)
     days = metrics.peak_days(flat, peaks)
     out = {
@@ -195,7 +199,7 @@ def train_fleet(
     good, failures = split_failures(readings, lookback, horizon)
     grid = prepare(good, step_seconds)
     rule = sequential_split if model in SINGLE_SERIES_MODELS else seasonal_split
-    split = rule(grid, step_seconds, validation).drop("idx", "n_rows").persist()
+    split = settle(rule(grid, step_seconds, validation).drop("idx", "n_rows"))
     f = forecast(split, step_seconds, model, lookback, horizon, train=F.col("role") == "training", params=params, start_fraction=0.0)
     roles = split.select(SERIES, F.col(TS).alias("origin_ts"), "role")
     scored = metrics.score(f, split).join(roles, [SERIES, "origin_ts"])
@@ -341,20 +345,19 @@ def tune(
     series. The best setting is then fitted on training rows only."""
     good, _ = split_failures(readings, lookback, horizon)
     grid = prepare(good, step_seconds)
-    split = sequential_split(grid, step_seconds).drop("idx", "n_rows").persist()
-    try:
-        first = split.where("role = 'validation'").groupBy(SERIES).agg(F.min(TS).alias("_v0"))
-
-        def objective(params: dict) -> float:
-            f = forecast(split, step_seconds, model, lookback, horizon, train=F.col("role") == "training", params=params, start_fraction=0.0)
-            scored = attach(metrics.score(f, split), first, [SERIES]).where(F.col("origin_ts") >= F.col("_v0"))
-            return metrics.point_metrics(scored, []).first()["cv_rmse"]
+    split = settle(sequential_split(grid, step_seconds).drop("idx", "n_rows"))
+    first = split.where("role = 'validation'").groupBy(SERIES).agg(F.min(TS).alias("_v0"))
 
-        return random_search(
-            readings.sparkSession, objective, SEARCH_SPACES[model] if space is None else space, n_trials, seed, parallelism
+    def objective(params: dict) -> float:
+        f = forecast(
+            split, step_seconds, model, lookback, horizon, train=F.col("role") == "training", params=params, start_fraction=0.0
         )
-    finally:
-        split.unpersist()
+        scored = attach(metrics.score(f, split), first, [SERIES]).where(F.col("origin_ts") >= F.col("_v0"))
+        return metrics.point_metrics(scored, []).first()["cv_rmse"]
+
+    return random_search(
+        readings.sparkSession, objective, SEARCH_SPACES[model] if space is None else space, n_trials, seed, parallelism
+    )
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.blocks import (
-    BLK, LOAD, SERIES, TS, block_of, block_seconds, blocked, nearest_known, previous_ts, running_total,
+    BLK, LOAD, SERIES, TS, block_of, block_seconds, blocked, nearest_known, present, previous_ts, running_total,
 )
 from gridcast.functions.time import epoch, from_epoch
 
@@ -21,7 +21,10 @@ def regular_grid(df: DataFrame, step_seconds: int) -> DataFrame:
     length = block_seconds(step_seconds)
     values = [c for c in df.columns if c not in (SERIES, TS, BLK)]
     e = epoch(TS)
-    bounds = df.groupBy(SERIES).agg(F.min(e).alias("_lo"), F.max(e).alias("_hi"))
+    df = df.where(present(SERIES, TS))
+    # counting the values keeps this branch on the exchange the rows come from
+    seen = sum((F.count(c) for c in values), F.lit(0))
+    bounds = df.groupBy(SERIES).agg(F.min(e).alias("_lo"), F.max(e).alias("_hi"), seen.alias("_seen")).where("_seen >= 0")
     spans = bounds.withColumn(
         BLK, F.explode(F.sequence(block_of(F.col("_lo"), length), block_of(F.col("_hi"), length)))
     ).repartition(SERIES, BLK)

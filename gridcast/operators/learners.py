@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.blocks import LOAD, SERIES, TS, attach
 from gridcast.functions.time import add_seconds
 from gridcast.operators.features import temperature_features
+from gridcast.session import settle
 
 FORECAST = (SERIES, "model", "origin_ts", "h", TS, "yhat")
 # Most partial matrices a task keeps before it hands them on.
@@ -204,6 +205,7 @@ def residual_correction(
     if temperature:
         d = temperature_features(d, temperature, knots, n_knots)
         columns += ["temp_hdd", "temp_cdd", *[f"temp_spline_{i}" for i in range(n_knots)]]
+    d = settle(d)  # read for the moments, the fit and the correction
     fit = d.where(train & F.col("actual").isNotNull())
     moments = _moments(fit, columns)
     xy = _standardised(fit, moments, columns).select(SERIES, "x", F.array(F.col("actual") - F.col("yhat")).alias("y"))

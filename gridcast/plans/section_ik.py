@@ -134,11 +134,11 @@ def weekly_curve(spark, sf):
     """A curve per priority: weekly means stand in for losses per round."""
     d = daily(spark, sf)
     return d.groupBy(F.col("series_id").alias("model_id"), F.weekofyear("ts").alias("x")).agg(
-        F.round(F.avg("load"), 6).alias("train"), F.round(F.avg(F.when(F.weekday("ts") > 3, F.col("load"))), 6).alias("val")
+        F.avg("load").alias("train"), F.avg(F.when(F.weekday("ts") > 3, F.col("load"))).alias("val")
     )
 
 
-WEEKLY = f"""{DAILY}, curve AS (SELECT series_id AS model_id, weekofyear(ts) AS x, round(avg(load), 6) AS train, round(avg(load) FILTER (WHERE isodow(ts) - 1 > 3), 6) AS val FROM daily GROUP BY ALL)"""
+WEEKLY = f"""{DAILY}, curve AS (SELECT series_id AS model_id, weekofyear(ts) AS x, avg(load) AS train, avg(load) FILTER (WHERE isodow(ts) - 1 > 3) AS val FROM daily GROUP BY ALL)"""
 
 
 @query("i12_curve_diagnostics", rounded(f"""

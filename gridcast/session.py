@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; all of them are plain Spark SQL options.
 DEFAULTS = {
@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,8 +36,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     checkpoints go, so that they outlive any executor. Only when the cluster
     names none (tests on one machine) is a temporary folder set.
     """
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="gridcast-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once that several branches of a job read.
+
+    The rows go to the shared checkpoint folder, so losing an executor costs a
+    read, not a recomputation, and the hash partitioning of the rows is kept:
+    what follows needs no new shuffle.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_base(spark))
+    return df.checkpoint(eager=True)
