@@ -184,14 +184,17 @@ def running_total(
     ).drop("_x", "_carry")
 
 
-def attach(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(
+    rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
     """Join per-key facts to rows when one key may own a third of the rows.
 
     The per-key side is copied once per salt and the row side spreads each key
-    over the salts; where the per-key side is small Spark broadcasts it.
+    over the salts; where the per-key side is small Spark broadcasts it. Wide
+    facts whose keys already split a series take fewer salts.
     """
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
     return rows.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 

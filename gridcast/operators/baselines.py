@@ -36,6 +36,38 @@ def seasonal_naive(grid: DataFrame, origins: DataFrame, step_seconds: int, horiz
     return _finish(f.join(source, [SERIES, "_src"]), "NaiveSeasonal")
 
 
+def rolling_seasonal(
+    grid: DataFrame, step_seconds: int, lookback: int, horizon: int,
+    stride: int | None = None, period: int | None = None, **kwargs,
+) -> DataFrame:
+    """Seasonal naive at rolling origins, with ``actual``, without any join.
+
+    Seen from the target row, the source lies a whole number of periods back,
+    so it is a lag, and the windows a row belongs to follow from its position:
+    one halo shuffle gives forecasts and actual values together.
+    """
+    k, stride = period or steps_per_day(step_seconds), stride or horizon
+    d = mark_origins(grid, step_seconds, lookback, horizon, stride=stride, keep_rel=True, **kwargs)
+    depth = -(-horizon // k)
+    h = haloed(
+        d.select(SERIES, TS, LOAD, "idx", "n_rows", "rel"),
+        block_seconds(step_seconds, depth * k), before=depth * k * step_seconds,
+    )
+    w = Window.partitionBy(SERIES, BLK).orderBy(TS)
+    sources = F.array(*[F.lag(LOAD, k * (m + 1)).over(w) for m in range(depth)])
+    rel, n_left = F.col("rel"), F.col("n_rows") - F.col("idx")
+    steps = F.filter(
+        F.sequence(F.lit(1), F.lit(horizon)),
+        lambda s: (rel - (s - 1) >= 0) & ((rel - (s - 1)) % stride == 0) & (n_left + (s - 1) >= horizon),
+    )
+    rows = h.withColumn("_s", sources).where("_own").withColumn("h", F.explode(steps))
+    return rows.select(
+        SERIES, F.lit("NaiveSeasonal").alias("model"),
+        add_seconds(TS, -(F.col("h") - 1) * step_seconds).alias("origin_ts"), "h", TS,
+        F.get("_s", F.floor((F.col("h") - 1) / k).cast("int")).alias("yhat"), F.col(LOAD).alias("actual"),
+    )
+
+
 def expanding_mean(grid: DataFrame, step_seconds: int, lookback: int, horizon: int, **kwargs) -> DataFrame:
     """Mean of all history before each origin, from block totals."""
     d = mark_origins(grid, step_seconds, lookback, horizon, **kwargs)

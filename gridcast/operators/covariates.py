@@ -170,13 +170,15 @@ def merge_all(load: DataFrame, covs: dict[str, tuple[DataFrame, Sequence[str]]])
         if clash:
             raise DataLoadError(f"{name} repeats columns {sorted(clash)}")
         seen |= set(columns)
-    out, report = load, None
+    out, report, added = load, None, []
     for name, (cov, columns) in covs.items():
         order = "source_ts" if "source_ts" in cov.columns else columns[0]
         line = merge_report(load, cov, columns, name, converted="source_ts" in cov.columns)
         report = line if report is None else report.unionByName(line)
-        merged = merge_covariates(out, unique_times(cov, order), columns)
-        out = fill_covariates(merged, columns).drop("was_missing")
+        out = merge_covariates(out, unique_times(cov, order), columns)
+        added += columns
+    # fills are per column, so one pass over the blocks serves all covariates
+    out = fill_covariates(out, added).drop("was_missing")
     return out, report
 
 

@@ -18,7 +18,7 @@ from gridcast.operators import baselines, intervals, metrics
 from gridcast.operators.checks import SPARE_ROWS
 from gridcast.operators.grid import fill_all, regular_grid
 from gridcast.operators.learners import fit_linear, fit_trees, predict_linear, predict_trees
-from gridcast.operators.origins import mark_origins, over_horizon, rolling_origins, supervised
+from gridcast.operators.origins import mark_origins, over_horizon, supervised
 from gridcast.operators.splits import seasonal_split, sequential_split
 from gridcast.session import settle
 from gridcast.sources.registry import model_id
@@ -88,8 +88,8 @@ def forecast(
     """
     params = dict(params or {})
     if model == "NaiveSeasonal":
-        o = rolling_origins(grid, step_seconds, max(lookback, params.get("period") or steps_per_day(step_seconds)), horizon, **kwargs)
-        return baselines.seasonal_naive(grid, o, step_seconds, horizon, params.get("period"))
+        period = int(params.get("period") or steps_per_day(step_seconds))
+        return baselines.rolling_seasonal(grid, step_seconds, max(lookback, period), horizon, period=period, **kwargs)
     if model == "NaiveMean":
         return baselines.expanding_mean(grid, step_seconds, lookback, horizon, **kwargs)
     if model == "NaiveMovingAverage":

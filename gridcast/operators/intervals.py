@@ -47,7 +47,7 @@ def add_bands(forecasts: DataFrame, quantiles: DataFrame, levels: Iterable[float
     """Shift each forecast by the residual quantiles of its step; the point
     forecast becomes the median."""
     names = [level_column(q) for q in validate_levels(levels)]
-    d = attach(forecasts, quantiles, list(keys))
+    d = attach(forecasts, quantiles, list(keys), salts=8)
     d = d.withColumns({n: F.col("yhat") + F.col(f"_r{n}") for n in names})
     return d.withColumn("yhat", F.col(level_column(0.5))).drop(*[f"_r{n}" for n in names])
 

@@ -97,7 +97,7 @@ def predict_linear(origins_x: DataFrame, coef: DataFrame, step_seconds: int, hor
     d = origins_x.select(
         SERIES, F.col(TS).alias("origin_ts"), "x", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
     )
-    scored = attach(d, coef, [SERIES, "h"])
+    scored = attach(d, coef, [SERIES, "h"], salts=8)
     return scored.select(
         SERIES, F.lit(model).alias("model"), "origin_ts", "h",
         add_seconds("origin_ts", (F.col("h") - 1) * step_seconds).alias(TS),

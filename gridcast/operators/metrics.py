@@ -15,7 +15,12 @@ SIMILAR_POINTS = 5.0
 
 
 def score(forecasts: DataFrame, readings: DataFrame) -> DataFrame:
-    """Pair forecasts with readings at the same series and time."""
+    """Pair forecasts with readings at the same series and time.
+
+    Forecasts that already carry ``actual`` are only filtered.
+    """
+    if "actual" in forecasts.columns:
+        return forecasts.where(F.col("actual").isNotNull() & F.col("yhat").isNotNull())
     actual = readings.select(SERIES, TS, F.col(LOAD).alias("actual"))
     return forecasts.join(actual, [SERIES, TS]).where(F.col("actual").isNotNull() & F.col("yhat").isNotNull())
 

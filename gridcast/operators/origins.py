@@ -27,8 +27,10 @@ def mark_origins(
     stride: int | None = None,
     start_fraction: float = START_FRACTION,
     starts: DataFrame | None = None,
+    keep_rel: bool = False,
 ) -> DataFrame:
-    """Grid rows with ``idx``, ``n_rows`` and ``is_origin``.
+    """Grid rows with ``idx``, ``n_rows`` and ``is_origin`` (and ``rel``, the
+    position after the first origin, if ``keep_rel``).
 
     The first origin is the later of the lookback and the start fraction, or
     ``start_idx`` of :func:`gridcast.operators.timefilter.backtest_start`;
@@ -47,10 +49,11 @@ def mark_origins(
         d = d.join(per, [SERIES, BLK])
         start = F.col("start_idx")
     rel = F.col("idx") - start
-    return d.withColumn(
+    out = d.withColumn(
         "is_origin",
         (rel >= 0) & (rel % (stride or horizon) == 0) & (F.col("idx") + horizon <= F.col("n_rows")),
-    ).drop("start_idx")
+    )
+    return (out.withColumn("rel", rel) if keep_rel else out).drop("start_idx")
 
 
 def rolling_origins(df: DataFrame, step_seconds: int, lookback: int, horizon: int, **kwargs) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridcast.operators import covariates, fleet, intervals, metrics, timefilter
-from gridcast.operators.baselines import seasonal_naive
+from gridcast.operators.baselines import rolling_seasonal, seasonal_naive
 from gridcast.operators.origins import rolling_origins
 from gridcast.operators.timefilter import DateWindow
 from gridcast.plans.base import (
@@ -176,14 +176,16 @@ def naive(spark, sf, stride=24, lookback=24, horizon=24, **kwargs):
     return grid, seasonal_naive(grid, o, HOUR, horizon)
 
 
-def scored(spark, sf, **kwargs):
-    grid, f = naive(spark, sf, **kwargs)
-    return metrics.score(f, grid)
+def scored(spark, sf, stride=24, lookback=24, horizon=24, **kwargs):
+    """Rolling seasonal naive forecasts with actual values."""
+    grid = fleet.prepare(hourly(spark, sf), HOUR)
+    return metrics.score(rolling_seasonal(grid, HOUR, lookback, horizon, stride=stride, **kwargs), grid)
 
 
 @query("d6_score_join", rounded(f"WITH {HOURLY}, {scored_sql()} SELECT * FROM scored", "yhat actual"))
 def d6(spark, sf):
-    return scored(spark, sf)
+    grid, f = naive(spark, sf)
+    return metrics.score(f, grid)
 
 
 @query("d7_horizon_lookup", rounded(f"""

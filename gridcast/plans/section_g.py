@@ -60,6 +60,11 @@ def g4(spark, sf):
     return naive(spark, sf)[1]
 
 
+@query("g4_rolling_seasonal", rounded(f"WITH {HOURLY}, {scored_sql(stride=5, horizon=30, period=12)} SELECT * FROM scored", "yhat actual"))
+def g4_rolling(spark, sf):
+    return baselines.rolling_seasonal(grid_of(spark, sf), HOUR, 24, 30, stride=5, period=12)
+
+
 @query("g5_moving_average", rounded(f"""
 WITH RECURSIVE {HOURLY}, {filled_sql('hourly')}, {origins_sql(24, 24, 24)},
 b AS (SELECT *, list(load) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS buf FROM idx),
