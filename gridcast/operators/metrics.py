@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.functions.blocks import BLK, LOAD, SERIES, TS, attach, blocked, in_block, with_summary
+from gridcast.functions.blocks import LOAD, SERIES, TS, attach, block_seconds, blocked, in_block, with_summary
 from gridcast.functions.time import WEEKDAYS, epoch
 
 METRICS = ("rmse", "mae", "mape", "cv_rmse", "r_squared")
@@ -123,7 +123,7 @@ def residual_diagnostics(scored: DataFrame, step_seconds: int) -> DataFrame:
     undefined correlation counts as 0.
     """
     d = blocked(
-        scored.select(SERIES, TS, (F.col("actual") - F.col("yhat")).alias("e")), step_seconds * 1024
+        scored.select(SERIES, TS, (F.col("actual") - F.col("yhat")).alias("e")), block_seconds(step_seconds)
     )
     d = with_summary(
         d,
