@@ -108,10 +108,10 @@ def daily(spark, sf) -> DataFrame:
 
 
 def shipped(spark, sf) -> DataFrame:
-    """Daily quantity and mean discount over all shipments: a shared covariate."""
+    """Daily quantity and total discount over all shipments: a shared covariate."""
     d = read_parquet(spark, f"{sf}/lineitem.parquet", ["l_shipdate", "l_quantity", "l_discount"])
     return d.groupBy(F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
-        F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_discount"), 8).alias("discount")
+        F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_discount"), 6).alias("discount")
     )
 
 
@@ -140,7 +140,7 @@ DAILY = """daily AS (
   FROM orders GROUP BY ALL)"""
 SHIPPED = """shipped AS (
   SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS ts, sum(l_quantity) AS quantity,
-         round(avg(l_discount), 8) AS discount
+         round(sum(l_discount), 6) AS discount
   FROM lineitem GROUP BY ALL)"""
 BY_FLAG = """by_flag AS (
   SELECT l_returnflag AS series_id, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, sum(l_quantity) AS load

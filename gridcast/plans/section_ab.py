@@ -76,12 +76,11 @@ def a6(spark, sf):
 
 
 @query("a7_weather_payload", f"""
-SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS temperature,
-  round(max(value), 6) AS relative_humidity
+SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, min(value) AS temperature, max(value) AS relative_humidity
 FROM events GROUP BY ALL""")
 def a7(spark, sf):
     rows = events(spark, sf, "event_type", "ts", "value").groupBy("event_type", F.date_trunc("hour", "ts").alias("t")).agg(
-        F.round(F.avg("value"), 6).alias("a"), F.round(F.max("value"), 6).alias("m")
+        F.min("value").alias("a"), F.max("value").alias("m")
     )
     # one payload per series and day, as a weather service would deliver them
     day = rows.groupBy("event_type", F.to_date("t").alias("d")).agg(F.sort_array(F.collect_list(F.struct("t", "a", "m"))).alias("r"))
@@ -98,7 +97,7 @@ def order_runs(spark, sf):
     d = spark.read.parquet(f"{sf}/orders.parquet")
     month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
     return d.groupBy("o_orderpriority", "o_orderstatus", month.alias("created_at")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("o_totalprice"), 4).alias("avg_price"),
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("price"),
         F.min("o_orderdate").cast("timestamp_ntz").alias("train_start"), F.max("o_orderdate").cast("timestamp_ntz").alias("train_end"),
     ).select(
         F.concat_ws("_", "o_orderpriority", "o_orderstatus", F.date_format(F.date_trunc("quarter", "created_at"), "yyyyMM")).alias("model_id"),
@@ -107,8 +106,8 @@ def order_runs(spark, sf):
         "created_at", F.lit("h").alias("frequency"),
         (F.col("n_rows") % 96 + 1).cast("int").alias("lookback"), F.lit(24).alias("horizon"),
         "train_start", "train_end", "n_rows",
-        (F.col("avg_price") % 7).alias("train_cv_rmse"),
-        F.when(F.col("n_rows") % 5 != 0, F.col("avg_price") % 13).alias("cv_rmse"),
+        (F.col("price") % 7).alias("train_cv_rmse"),
+        F.when(F.col("n_rows") % 5 != 0, F.col("price") % 13).alias("cv_rmse"),
         F.array(F.lit("ts"), F.lit("load"), F.when(F.col("n_rows") % 2 == 0, "t_out").otherwise("rh_out")).alias("past_covariates"),
         F.array().cast("array<string>").alias("future_covariates"),
         (F.month("created_at") % 12 == 0).alias("deleted"),
@@ -118,12 +117,12 @@ def order_runs(spark, sf):
 RUNS = """runs AS (
   SELECT concat_ws('_', p, s, strftime(date_trunc('quarter', created_at), '%Y%m')) AS model_id, p AS series_id, p AS building,
     CASE s WHEN 'F' THEN 'ARIMA' WHEN 'O' THEN 'LinearRegression' ELSE 'NaiveMean' END AS model_type, created_at, 'h' AS frequency,
-    (n_rows % 96 + 1) AS lookback, 24::BIGINT AS horizon, train_start, train_end, n_rows, avg_price % 7 AS train_cv_rmse,
-    CASE WHEN n_rows % 5 <> 0 THEN avg_price % 13 END AS cv_rmse,
+    (n_rows % 96 + 1) AS lookback, 24::BIGINT AS horizon, train_start, train_end, n_rows, price % 7 AS train_cv_rmse,
+    CASE WHEN n_rows % 5 <> 0 THEN price % 13 END AS cv_rmse,
     ['ts', 'load', CASE WHEN n_rows % 2 = 0 THEN 't_out' ELSE 'rh_out' END] AS past_covariates,
     month(created_at) % 12 = 0 AS deleted
   FROM (SELECT o_orderpriority AS p, o_orderstatus AS s, date_trunc('month', o_orderdate)::TIMESTAMP AS created_at, count(*) AS n_rows,
-          round(avg(o_totalprice), 4) AS avg_price, min(o_orderdate) AS train_start, max(o_orderdate) AS train_end
+          round(sum(o_totalprice), 2) AS price, min(o_orderdate) AS train_start, max(o_orderdate) AS train_end
         FROM orders GROUP BY ALL)),
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, deleted DESC) AS rn FROM runs)
   WHERE rn = 1 AND NOT deleted)"""

@@ -158,10 +158,10 @@ def i13(spark, sf):
 
 
 def order_trials(spark, sf):
-    """Trials per priority: one per month, scored by its mean price."""
+    """Trials per priority: one per month, scored by its total price."""
     d = spark.read.parquet(f"{sf}/orders.parquet")
     m = d.groupBy(F.col("o_orderpriority").alias("study"), F.date_trunc("month", "o_orderdate").alias("m")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("p")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("p")
     )
     trial = F.months_between("m", F.lit("1995-01-01")).cast("int")
     return m.select("study", trial.alias("trial"), F.when(F.col("n") % 4 != 0, F.col("p")).alias("cv_rmse"),
@@ -169,7 +169,7 @@ def order_trials(spark, sf):
 
 
 TRIALS = """trials AS (SELECT o_orderpriority AS study, date_diff('month', DATE '1995-01-01', date_trunc('month', o_orderdate)) AS trial,
-  CASE WHEN count(*) % 4 <> 0 THEN round(avg(o_totalprice), 2) END AS cv_rmse, count(*) % 3 AS lag FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate))"""
+  CASE WHEN count(*) % 4 <> 0 THEN round(sum(o_totalprice), 2) END AS cv_rmse, count(*) % 3 AS lag FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate))"""
 
 
 @query("i14_tuning_study", rounded(f"""

@@ -68,7 +68,10 @@ def unpack_weather(
     fields = ", ".join(f"`{n}`: array<double>" for n in names)
     schema = f"struct<`{resolution}`: struct<time: array<string>, {fields}>>"
     body = payloads.select(*keys, F.from_json(column, schema).getField(resolution).alias("p"))
-    rows = body.select(*keys, F.inline(F.arrays_zip(*[F.col(f"p.{n}").alias(n) for n in ("time", *names)])))
+    # an absent variable is an empty array, which the zip pads with NULLs
+    parts = [F.col("p.time").alias("time")]
+    parts += [F.coalesce(F.col(f"p.{n}"), F.array().cast("array<double>")).alias(n) for n in names]
+    rows = body.select(*keys, *parts).select(*keys, F.inline(F.arrays_zip("time", *names)))
     local = F.regexp_replace("time", r"(Z|[+-]\d{2}:?\d{2})$", "")
     out = rows.select(
         *keys, F.to_timestamp_ntz(F.replace(local, F.lit("T"), F.lit(" "))).alias("ts"),
