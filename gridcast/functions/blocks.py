@@ -184,6 +184,41 @@ def running_total(
     ).drop("_x", "_carry")
 
 
+def number_runs(
+    df: DataFrame,
+    columns: Sequence[str],
+    breaks: Callable[[dict[str, Column], dict[str, Column]], Column],
+    name: str,
+    keys: Sequence[str] = (SERIES,),
+) -> DataFrame:
+    """Number the runs of a series: ``breaks(previous, current)`` starts one.
+
+    Both callables' arguments map the named columns to their values in two
+    consecutive rows. Breaks inside a block are counted in the block; a break
+    at its first row is found by comparing block summaries.
+    """
+    w = in_block(keys)
+    lagged = {c: F.lag(c).over(w) for c in columns}
+    inner = F.when(F.row_number().over(w) == 1, False).otherwise(breaks(lagged, {c: F.col(c) for c in columns}))
+    d = df.where(present(*keys, BLK, TS)).withColumn("_in", inner.cast("int"))
+    edges = [e for c in columns for e in (F.min_by(c, TS).alias(f"_f_{c}"), F.max_by(c, TS).alias(f"_l_{c}"))]
+    touched = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("_touched")
+    order = Window.partitionBy(*keys).orderBy(BLK)
+    summary = d.groupBy(*keys, BLK).agg(F.sum("_in").alias("_n"), *edges, touched).where("_touched IS NOT NULL")
+    edge = F.when(F.row_number().over(order) == 1, False).otherwise(
+        breaks({c: F.lag(f"_l_{c}").over(order) for c in columns}, {c: F.col(f"_f_{c}") for c in columns})
+    )
+    here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    base = F.sum("_edge").over(here) + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    summary = summary.withColumn("_edge", edge.cast("int")).select(*keys, BLK, base.alias("_base"))
+    return (
+        d.join(summary, [*keys, BLK])
+        .withColumn(name, F.col("_base") + F.sum("_in").over(up_to_here(keys)))
+        .drop("_in", "_base")
+    )
+
+
 def attach(
     rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.blocks import (
-    BLK, LOAD, SERIES, TS, attach, block_seconds, exact_percentiles, haloed, in_block, nearest_known, with_summary,
+    BLK, LOAD, SERIES, TS, attach, block_seconds, exact_percentiles, haloed, in_block, up_to_here, with_summary,
 )
 from gridcast.functions.time import calendar, epoch, hours_to_steps
 from gridcast.operators.grid import ensure_blocked
@@ -31,15 +31,16 @@ def lag_features(
     series' first known value; ``lag_ready`` is false on warm-up rows. Lags
     reach into the block before through a halo.
     """
-    d = nearest_known(ensure_blocked(df, step_seconds), value)
+    known = F.when(F.col(value).isNotNull(), F.col(TS))
     d = with_summary(
-        d,
-        [F.min_by(value, F.when(F.col(value).isNotNull(), F.col(TS))).alias("_f"),
-         F.min(F.when(F.col(value).isNotNull(), F.col(TS))).alias("_ft"), F.min(TS).alias("_t0")],
+        ensure_blocked(df, step_seconds),
+        [F.max_by(value, known).alias("_l"), F.min_by(value, known).alias("_f"), F.min(known).alias("_ft"), F.min(TS).alias("_t0")],
         lambda before, after, whole: [
+            F.last("_l", True).over(before).alias("_carry"),
             F.min_by("_f", "_ft").over(whole).alias("_first"), F.min("_t0").over(whole).alias("_start"),
         ],
-    ).drop(BLK, "_pt", "_nt", "_nv")
+    )
+    d = d.withColumn("_pv", F.coalesce(F.last(value, True).over(up_to_here()), F.col("_carry"))).drop(BLK, "_carry")
     steps = {h: hours_to_steps(h, step_seconds) for h in lag_hours}
     longest = max(steps.values())
     h = haloed(d, block_seconds(step_seconds, longest), before=longest * step_seconds)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.blocks import (
-    BLK, LOAD, SERIES, TS, block_of, block_seconds, blocked, nearest_known, present, previous_ts, running_total,
+    BLK, LOAD, SERIES, TS, block_of, block_seconds, blocked, nearest_known, number_runs, present, previous_ts,
 )
 from gridcast.functions.time import epoch, from_epoch
 
@@ -124,9 +124,10 @@ def gap_summary(df: DataFrame, step_seconds: int, top: int = 5) -> tuple[DataFra
 
 def chunks(df: DataFrame, step_seconds: int) -> DataFrame:
     """Add ``chunk_id``: 0-based number of the gap-free run a row lies in."""
-    d = previous_ts(ensure_blocked(df, step_seconds))
-    starts = F.when(epoch(TS) - epoch("prev_ts") > step_seconds, 1).otherwise(0)
-    return running_total(d, starts, "chunk_id").drop("prev_ts")
+    return number_runs(
+        ensure_blocked(df, step_seconds), [TS],
+        lambda before, now: epoch(now[TS]) - epoch(before[TS]) > step_seconds, "chunk_id",
+    )
 
 
 def chunk_spans(df: DataFrame, step_seconds: int) -> DataFrame:

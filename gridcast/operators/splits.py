@@ -7,9 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.functions.blocks import BLK, LOAD, SERIES, TS, in_block, row_index, running_total, with_summary
+from gridcast.functions.blocks import BLK, SERIES, TS, in_block, number_runs, row_index, with_summary
 from gridcast.functions.time import SEASONS, epoch, season
-from gridcast.operators.grid import chunks, ensure_blocked
+from gridcast.operators.grid import ensure_blocked
 
 
 def sequential_split(df: DataFrame, step_seconds: int, validation: float = 0.2) -> DataFrame:
@@ -66,24 +66,13 @@ def seasonal_split(df: DataFrame, step_seconds: int, validation: float = 0.2) ->
 
 def islands(df: DataFrame, step_seconds: int, labels: Sequence[str]) -> DataFrame:
     """Add ``island``: a new one where a label changes or a gap exceeds 1.5 steps."""
-    d = with_summary(
-        ensure_blocked(df, step_seconds),
-        [F.max(TS).alias("_t"), *[F.max_by(c, TS).alias(f"_v_{c}") for c in labels]],
-        lambda before, after, whole: [
-            F.last("_t", True).over(before).alias("_ct"),
-            *[F.last(f"_v_{c}").over(before).alias(f"_c_{c}") for c in labels],
-        ],
-    )
-    w = in_block()
-    first = F.row_number().over(w) == 1
-    changed = F.lit(False)
-    for c in labels:
-        prev = F.when(first, F.col(f"_c_{c}")).otherwise(F.lag(c).over(w))
-        changed = changed | ~prev.eqNullSafe(F.col(c))
-    prev_ts = F.when(first, F.col("_ct")).otherwise(F.lag(TS).over(w))
-    new = prev_ts.isNotNull() & (changed | (epoch(TS) - epoch(prev_ts) > 1.5 * step_seconds))
-    d = d.withColumn("_new", new.cast("int")).drop("_ct", *[f"_c_{c}" for c in labels])
-    return running_total(d, F.col("_new"), "island").drop("_new")
+    def breaks(before, now):
+        new = epoch(now[TS]) - epoch(before[TS]) > 1.5 * step_seconds
+        for c in labels:
+            new = new | ~before[c].eqNullSafe(now[c])
+        return new
+
+    return number_runs(ensure_blocked(df, step_seconds), [TS, *labels], breaks, "island")
 
 
 def segments(df: DataFrame, step_seconds: int, label_seasons: bool = True) -> DataFrame:
@@ -100,16 +89,11 @@ def segments(df: DataFrame, step_seconds: int, label_seasons: bool = True) -> Da
 
 def season_spans(df: DataFrame, step_seconds: int) -> DataFrame:
     """Runs of one season, whatever the gaps inside them."""
-    d = with_summary(
-        ensure_blocked(df.withColumn("season", season(TS)), step_seconds),
-        [F.max_by("season", TS).alias("_s")],
-        lambda before, after, whole: [F.last("_s", True).over(before).alias("_cs")],
-    )
-    prev = F.coalesce(F.lag("season").over(in_block()), F.col("_cs"))
-    d = d.withColumn("_new", (prev.isNotNull() & (prev != F.col("season"))).cast("int"))
-    return running_total(d, F.col("_new"), "span").groupBy(SERIES, "span", "season").agg(
-        F.min(TS).alias("start_ts"), F.max(TS).alias("end_ts")
+    d = number_runs(
+        ensure_blocked(df.withColumn("season", season(TS)), step_seconds), ["season"],
+        lambda before, now: before["season"] != now["season"], "span",
     )
+    return d.groupBy(SERIES, "span", "season").agg(F.min(TS).alias("start_ts"), F.max(TS).alias("end_ts"))
 
 
 def segment_summary(segs: DataFrame) -> DataFrame:
