@@ -78,7 +78,13 @@ def up_to_here(keys: Sequence[str] = (SERIES,)) -> WindowSpec:
 
 
 def from_here(keys: Sequence[str] = (SERIES,)) -> WindowSpec:
-    return in_block(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """This row and all later ones, nearest last: use ``last`` for the nearest.
+
+    Ordered backwards because a frame that ends at the end of the partition is
+    evaluated anew for every row, while one that starts at its start grows.
+    """
+    backwards = Window.partitionBy(*keys, BLK).orderBy(F.col(TS).desc())
+    return backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def with_summary(
@@ -90,13 +96,14 @@ def with_summary(
     """Attach to every row facts about the blocks around its own.
 
     ``aggs`` summarise one block; ``outs(before, after, whole)`` are window
-    expressions over the block summaries of a series.
+    expressions over the block summaries of a series; ``before`` and ``after``
+    both end with the nearest block, so ``last`` picks it.
     """
     # stated on the shared input, so that both branches read the same exchange
     df = df.where(present(*keys, BLK))
     order = Window.partitionBy(*keys).orderBy(BLK)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.col(BLK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     # every column is touched here, else Spark prunes this branch and shuffles a
     # narrower copy of the rows next to the full one
@@ -151,7 +158,7 @@ def nearest_known(
         ],
         lambda before, after, whole: [
             F.last("_lt", True).over(before).alias("_cpt"), F.last("_lv", True).over(before).alias("_cpv"),
-            F.first("_ft", True).over(after).alias("_cnt"), F.first("_fv", True).over(after).alias("_cnv"),
+            F.last("_ft", True).over(after).alias("_cnt"), F.last("_fv", True).over(after).alias("_cnv"),
         ],
         keys,
     )
@@ -160,8 +167,8 @@ def nearest_known(
         *df.columns,
         F.coalesce(F.last(known, True).over(back), F.col("_cpt")).alias(f"_pt{tag}"),
         F.coalesce(F.last(value, True).over(back), F.col("_cpv")).alias(f"_pv{tag}"),
-        F.coalesce(F.first(known, True).over(ahead), F.col("_cnt")).alias(f"_nt{tag}"),
-        F.coalesce(F.first(value, True).over(ahead), F.col("_cnv")).alias(f"_nv{tag}"),
+        F.coalesce(F.last(known, True).over(ahead), F.col("_cnt")).alias(f"_nt{tag}"),
+        F.coalesce(F.last(value, True).over(ahead), F.col("_cnv")).alias(f"_nv{tag}"),
     )
 
 

@@ -93,7 +93,7 @@ def fill_covariates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         lambda before, after, whole: [
             e for c in outs for e in (
                 F.last(f"_l_{c}", True).over(before).alias(f"_p_{c}"),
-                F.first(f"_f_{c}", True).over(after).alias(f"_n_{c}"),
+                F.last(f"_f_{c}", True).over(after).alias(f"_n_{c}"),
             )
         ],
     )
@@ -101,7 +101,7 @@ def fill_covariates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     filled = {
         c: F.coalesce(
             F.last(c, True).over(up_to_here()), F.col(f"_p_{c}"),
-            F.first(c, True).over(from_here()), F.col(f"_n_{c}"),
+            F.last(c, True).over(from_here()), F.col(f"_n_{c}"),
         )
         for c in columns
     }
