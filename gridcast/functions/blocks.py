@@ -235,9 +235,18 @@ def attach(
     over the salts; where the per-key side is small Spark broadcasts it. Wide
     facts whose keys already split a series take fewer salts.
     """
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return with_salt(rows, salts).join(per_salt(small, salts), [*keys, "_salt"], how).drop("_salt")
+
+
+def with_salt(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """A salt from the row's content and the task that read it: copies of one
+    row spread too, and a retried task gives the same salts."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.withColumn("_salt", F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int"))
+
+
+def per_salt(small: DataFrame, salts: int = SALTS) -> DataFrame:
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def exact_percentiles(
@@ -250,41 +259,49 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles per key without gathering a key's values.
 
-    Equal values are counted before any shuffle by key; a histogram of bounded
-    size finds the buckets that hold the wanted ranks, and only the values of
-    those buckets are ordered.
+    Range and count per key give the edges of a histogram of bounded size; the
+    histogram, combined before its shuffle, tells which buckets hold the wanted
+    ranks; only the values of those buckets are counted and ordered. Rows meet
+    the per-key facts in salted joins, so where these are small nothing but
+    histograms is shuffled.
     """
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    v = (
-        df.where(present(value, *keys))
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(n.cast("long").alias("_n"))
+    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    rows = with_salt(df.where(present(value, *keys))).select(
+        *keys, F.col(value).cast("double").alias("_v"), n.alias("_n"), "_salt"
     )
-    span = v.groupBy(*keys).agg(
+    span = rows.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
     )
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0)
-    b = attach(v, span, keys).select(
-        *keys, "_v", "_n", "_total", bucket.cast("int").alias("_b")
-    )
+    # small groups get few buckets, so the histogram stays well below the rows
+    n_buckets = F.greatest(F.lit(1), F.least(F.lit(buckets), F.floor(F.col("_total") / 32)))
+    width = (F.col("_hi") - F.col("_lo")) / n_buckets
+    bucket = F.when(width > 0, F.least(n_buckets - 1, F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0).cast("int")
     order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ranks = []
     for p in probs.values():
         pos = (F.col("_total") - 1) * F.lit(float(p))
         ranks += [F.floor(pos), F.ceil(pos)]
     hist = (
-        b.groupBy(*keys, "_b")
+        rows.join(per_salt(span), [*keys, "_salt"])
+        .groupBy(*keys, bucket.alias("_b"))
         .agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
         .withColumn("_before", F.coalesce(F.sum("_bn").over(order), F.lit(0)))
         .where(
             F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))
         )
-        .select(*keys, "_b", "_before")
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("_b", "_before")).alias("_sel"))  # at most two buckets per level
+    )
+    wanted = rows.join(per_salt(span.join(hist, [*keys])), [*keys, "_salt"]).withColumn("_b", bucket)
+    hit = F.filter("_sel", lambda s: s["_b"] == F.col("_b"))
+    v = (
+        wanted.withColumn("_hit", F.get(hit, F.lit(0)))
+        .where("_hit IS NOT NULL")
+        .groupBy(*keys, "_total", F.col("_hit._b").alias("_b"), F.col("_hit._before").alias("_before"), "_v")
+        .agg(F.sum("_n").alias("_n"))
     )
     inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0))
-    picked = b.join(hist, [*keys, "_b"]).withColumn("_start", start)
+    picked = v.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
 
     def at(rank: Column) -> Column:
         here = (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
