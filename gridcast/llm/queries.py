@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import exact, mixing, packing, simhash, toxicity
+from gridcast.llm import embeddings, exact, langid, licenses, mixing, packing, quality, secretscan, simhash, toxicity
 from gridcast.llm.common import read
 
 QUERIES = {}
@@ -55,3 +55,34 @@ FROM t JOIN g USING (norm)
 """)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query(secretscan.oracle())
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secretscan.BASE))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secretscan.span_list(base).cast("binary"), 256).alias("base_sha256"), secretscan.span_list(F.col("secrets")).alias("spans"),
+    )
+
+
+@query(licenses.oracle())
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read(spark, sf_dir, "documents"))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+@query()
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
