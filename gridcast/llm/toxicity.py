@@ -196,7 +196,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     by a logistic curve over the training rows.
 
     A null or empty text has no passage and gets the score of no evidence. A null doc_id is not held out. Rows that repeat a doc_id are
-    scored each; of contradicting labels the toxic one counts. Without labels every score is 0. An empty table gives an
+    scored each; of contradicting labels the toxic one counts. Without labels every score is next to 0. An empty table gives an
     empty result; other columns are ignored.
     """
     rows = settle(training_rows(labels))
