@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +19,7 @@ from gridcast.session import settle
 CAPACITY = 2048
 END_ID = 0
 # Words remembered by a Python worker, in two generations; a forgotten word is encoded again.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 # A full stop or comma that follows a letter and ends a word is a token of its own, so it is split off before words are looked up.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,])(?=\s|$)")
 
@@ -40,41 +42,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The byte alphabet: printable signs of Latin-1 stand for themselves, the other bytes for the signs from 256 on, in order.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in printable)
+        self.signs = {b: 256 + k for k, b in enumerate(others)}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.young) + len(words) > REMEMBERED // 2:
-            self.old, self.young = self.young, {}
-        # Plain letters keep their bytes under the tokenizer's byte alphabet, so its model takes them as they are.
+        # A word of letters is one unit of the tokenizer. Composed and in lower case it goes to the model itself, each byte as its sign in the
+        # tokenizer's byte alphabet; all other words take the tokenizer's whole way.
         model, rest = self.tokenizer.model, []
         for w in words:
             if w.isalpha():  # ASCII letters only, as w is bytes
-                self.young[w] = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w.decode()))
+                ids = [t.id for t in model.tokenize(w.decode())]
+            elif (s := w.decode()).isalpha() and s.islower() and is_normalized("NFC", s):
+                ids = [t.id for t in model.tokenize(w.decode("latin-1").translate(self.signs))]
             else:
                 rest.append(w)
+                continue
+            self.young[w] = array("I", ids).tobytes()
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for w, e in zip(rest, encode([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.young[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_STOP.sub(rb" \1\2", t.encode().lower()).split() for t in texts]
-        wanted = set().union(*split)
-        known = {}
-        missing = []
-        for w in wanted:
-            ids = self.young.get(w)
-            if ids is None:
-                ids = self.old.get(w)
-                if ids is None:
+            self.young[w] = array("I", e.ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        words = _STOP.sub(rb" \1\2", text.encode().lower()).split()
+        young = self.young
+        try:
+            return b"".join([young[w] for w in words])
+        except KeyError:
+            missing = []
+            for w in set(words).difference(young):
+                if w in self.old:
+                    young[w] = self.old[w]
+                else:
                     missing.append(w)
-                    continue
-                self.young[w] = ids
-            known[w] = ids
-        if missing:
             self._learn(missing)
-            known.update((w, self.young[w]) for w in missing)
-        return [b"".join([known[w] for w in words]) for words in split]
+            young = self.young
+            if len(young) > REMEMBERED // 2:
+                self.old, self.young = young, {}
+            return b"".join([young[w] for w in words])
 
 
 @lru_cache(1)
@@ -90,7 +98,7 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = encoder(path).encode(part.column("text").to_pylist())
+                ids = [encoder(path).encode(t) for t in part.column("text").to_pylist()]
                 out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
                 for doc_id, own in zip(part.column("doc_id"), ids, strict=True):
                     own += END_ID.to_bytes(4, "little")
