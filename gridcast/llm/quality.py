@@ -94,9 +94,12 @@ def log_probabilities(grams: DataFrame, model) -> DataFrame:
     for k in range(ORDER, 0, -1):
         p = probs[k].select(F.col("g").alias("_g"), "p")
         b = backs[k].select(F.col("h").alias("_h"), "back")
-        h = F.shiftrightunsigned(F.col("_g0"), 16) if k > 1 else F.lit(0).cast("long")
-        out = out.withColumn("_g0", _tail("g", k) if k < ORDER else F.col("g"))
-        out = out.join(p, F.col("_g0") == F.col("_g"), "left").join(b, h == F.col("_h"), "left").select(
+        out = out.withColumn("_g0", _tail("g", k) if k < ORDER else F.col("g")).join(p, F.col("_g0") == F.col("_g"), "left")
+        if k > 1:
+            out = out.join(b, F.shiftrightunsigned(F.col("_g0"), 16) == F.col("_h"), "left")
+        else:  # the empty context has one weight
+            out = out.withColumn("back", F.lit((b.select("back").first() or [1.0])[0]))
+        out = out.select(
             "g",
             F.when(F.col("done"), F.col("lp")).when(F.col("p").isNotNull(), F.col("lp") + F.log("p")).otherwise(F.col("lp") + F.log(F.coalesce("back", F.lit(1.0)))).alias("lp"),
             (F.col("done") | F.col("p").isNotNull()).alias("done"),
@@ -114,7 +117,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             mark = xxhash.xxh64()
             for i, t in zip(ids, raw, strict=True):
                 mark.update(f"{i}:{len(t)};".encode())
-            body = zstandard.compress(b"".join(len(t).to_bytes(8, "little") + t for t in raw), 6)
+            body = zstandard.compress(b"".join(len(t).to_bytes(8, "little") + t for t in raw), 12)
             row = pa.RecordBatch.from_arrays([pa.array([mark.intdigest() >> 1], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([body], pa.binary())], names=["block", "ids", "body"])
             ids.clear(), texts.clear()
             return row
