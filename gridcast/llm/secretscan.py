@@ -70,15 +70,14 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
             if few is not None and len(run) * len(few) <= _MOST:
                 run = {a + b for a in run for b in few}
                 continue
-            runs.append(run)
-            run = {""}
             op, arg = node
-            if op is C.SUBPATTERN:
+            if op is C.SUBPATTERN:  # what it begins with follows on the run
                 visit(arg[3])
-            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
+                continue
+            if op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:  # and so does the first of its repeats
                 visit(arg[2])
-                runs.append(run)
-                run = {""}
+            runs.append(run)
+            run = {""}
 
     visit(_parser.parse(pattern))
     runs.append(run)
