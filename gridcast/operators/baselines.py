@@ -141,24 +141,24 @@ def difference(df: DataFrame, step_seconds: int, column: str, name: str) -> Data
     return d.withColumn(name, F.col(column) - prev).drop("_carry")
 
 
-def autoregression(
-    grid: DataFrame, step_seconds: int, horizon: int, p: int = 1, d: int = 1,
-    exog: Sequence[str] = (), train: Column | None = None, lookback: int | None = None, **kwargs,
-) -> DataFrame:
-    """AR(p) on d-th differences with optional known-ahead covariates.
-
-    Coefficients are least squares per series over the training rows; the
-    forecast recursion runs on the arrays of each origin, then integrates.
-    """
+def _differenced(grid: DataFrame, step_seconds: int, p: int, d: int) -> DataFrame:
+    """The grid with the load's differences of order 0 to ``d`` as ``_z0`` to ``_z<d>``."""
     if not 0 <= d <= 2 or p < 1:
         raise ValueError("p >= 1 and d in 0..2")
-    lookback = max(lookback or 0, p + d)
     z = ensure_blocked(grid, step_seconds).withColumn("_z0", F.col(LOAD))
     for i in range(1, d + 1):
         z = difference(z, step_seconds, f"_z{i - 1}", f"_z{i}")
-    name = f"_z{d}"
+    return z
+
+
+def fit_autoregression(
+    grid: DataFrame, step_seconds: int, p: int = 1, d: int = 1, exog: Sequence[str] = (), train: Column | None = None
+) -> DataFrame:
+    """Coefficients ``(series_id, h, w)`` of AR(p) on d-th differences: least squares per series over the
+    rows that ``train`` marks (default: all). ``w`` holds the intercept, the lags, then the covariates."""
+    z, name = _differenced(grid, step_seconds, p, d), f"_z{d}"
     w = Window.partitionBy(SERIES, BLK).orderBy(TS)
-    base = z.select(SERIES, TS, *[f"_z{i}" for i in range(d + 1)], LOAD, *exog, (train if train is not None else F.lit(True)).alias("_train"))
+    base = z.select(SERIES, TS, name, *exog, (F.lit(True) if train is None else train).alias("_train"))
     h = haloed(base, block_seconds(step_seconds, p), before=p * step_seconds)
     lags = F.reverse(F.collect_list(name).over(w.rowsBetween(-p, -1)))
     fit_rows = (
@@ -166,9 +166,30 @@ def autoregression(
         .where(F.col("_own") & F.col("_train") & (F.size("_l") == p) & F.col(name).isNotNull())
         .select(SERIES, F.concat("_l", F.array(*[F.col(c).cast("double") for c in exog])).alias("x") if exog else F.col("_l").alias("x"), F.array(name).alias("y"))
     )
-    coef = fit_linear(fit_rows, [SERIES]).where("h = 1").select(SERIES, F.col("w").alias("_w"))
+    return fit_linear(fit_rows, [SERIES])
+
+
+def autoregression(
+    grid: DataFrame, step_seconds: int, horizon: int, p: int = 1, d: int = 1,
+    exog: Sequence[str] = (), train: Column | None = None, lookback: int | None = None, coef: DataFrame | None = None, **kwargs,
+) -> DataFrame:
+    """AR(p) on d-th differences with optional known-ahead covariates.
+
+    Coefficients are those given, or are fitted on the rows that ``train`` marks, by default those before
+    the first origin of each series; the forecast recursion runs on the arrays of each origin, then integrates.
+    """
+    lookback = max(lookback or 0, p + d)
+    if coef is None:
+        rows = grid
+        if train is None:
+            rows = mark_origins(grid, step_seconds, lookback, horizon, keep_rel=True, **kwargs)
+            train = F.col("rel") < 0
+        coef = fit_autoregression(rows, step_seconds, p, d, exog, train)
+    coef = coef.where("h = 1").select(SERIES, F.col("w").alias("_w"))
+    z, name = _differenced(grid, step_seconds, p, d), f"_z{d}"
+    base = z.select(SERIES, TS, *[f"_z{i}" for i in range(d + 1)], LOAD, *exog)
     o = origin_histories(
-        base.drop("_train"), step_seconds, lookback, horizon, columns=(name,), future=exog,
+        base, step_seconds, lookback, horizon, columns=(name,), future=exog,
         last=[f"_z{i}" for i in range(d)], length=p, **kwargs,
     )
     o = attach(o, coef, [SERIES])

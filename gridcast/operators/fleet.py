@@ -44,6 +44,7 @@ SEARCH_SPACES = {
     },
     "LinearRegression": {}, "NaiveMean": {}, "NaiveSeasonal": {}, "NaiveMovingAverage": {},
 }
+FITTED_MODELS = ("LinearRegression", "GradientBoosting", "ARIMA")
 SINGLE_SERIES_MODELS = ("NaiveMean", "NaiveSeasonal", "NaiveMovingAverage", "ARIMA")
 
 
@@ -77,14 +78,56 @@ def split_failures(readings: DataFrame, lookback: int, horizon: int) -> tuple[Da
     return good, checked.where("error is not null").select(SERIES, "error")
 
 
+def _windows(
+    grid: DataFrame, step_seconds: int, lookback: int, horizon: int, train: Column | None, calendar_static: bool, **kwargs
+) -> DataFrame:
+    """Supervised rows of a fitted model. ``fit_ok`` rows lie wholly inside what ``train`` marks, by default
+    the rows before the first origin of each series."""
+    marked = mark_origins(grid, step_seconds, lookback, horizon, keep_rel=True, **kwargs)
+    static = []
+    if calendar_static:
+        cal = calendar(TS)
+        static = [c for c in cal if c.endswith(("_sin", "_cos"))]
+        marked = marked.withColumns({c: cal[c] for c in static})
+    if "role" not in marked.columns:
+        early = F.col("rel") < 0 if train is None else train
+        marked = marked.withColumn("role", F.when(early, "training").otherwise("validation"))
+    return supervised(marked.drop("rel"), step_seconds, lookback, horizon, static=static, keep_open=True)
+
+
+def _fit_rows(rows: DataFrame, model: str, horizon: int, params: dict) -> DataFrame | dict:
+    if model == "LinearRegression":
+        return fit_linear(rows.where("fit_ok").select(SERIES, "x", "y"), [SERIES], ridge=params.get("ridge", 0.0))
+    return fit_trees(rows.where("fit_ok"), range(1, horizon + 1), params)
+
+
+def fit(
+    grid: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
+    train: Column | None = None, params: dict | None = None, calendar_static: bool = True,
+) -> DataFrame | dict | None:
+    """What a model learns from the rows that ``train`` marks (default: all rows of ``grid``).
+
+    A settled table of coefficients ``(series_id, h, w)``, the trees of each step, or None for a model without a
+    fit. Coefficients are a plain table: write it, read it, and give it to :func:`forecast` as ``fitted``.
+    """
+    params, train = dict(params or {}), F.lit(True) if train is None else train
+    if model not in FITTED_MODELS:
+        return None
+    if model == "ARIMA":
+        return settle(baselines.fit_autoregression(grid, step_seconds, params.get("p", 1), params.get("d", 1), train=train))
+    fitted = _fit_rows(_windows(grid, step_seconds, lookback, horizon, train, calendar_static), model, horizon, params)
+    return settle(fitted) if isinstance(fitted, DataFrame) else fitted
+
+
 def forecast(
     grid: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
-    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, **kwargs,
+    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, fitted: DataFrame | dict | None = None, **kwargs,
 ) -> DataFrame:
     """Forecast rows of every rolling origin for one kind of model.
 
-    ``train`` marks the rows a model may be fitted on; the others are only
-    forecast. Nothing is refitted while rolling.
+    ``fitted`` is the result of :func:`fit`. Without it the model is fitted here on the rows that ``train`` marks,
+    by default those before the first origin of each series, so no scored value is part of a fit.
+    Nothing is refitted while rolling.
     """
     params = dict(params or {})
     if model == "NaiveSeasonal":
@@ -96,25 +139,17 @@ def forecast(
         return baselines.moving_average(grid, step_seconds, lookback, horizon, **kwargs)
     if model == "ARIMA":
         return baselines.autoregression(
-            grid, step_seconds, horizon, params.get("p", 1), params.get("d", 1), train=train, lookback=lookback, **kwargs
+            grid, step_seconds, horizon, params.get("p", 1), params.get("d", 1), train=train, lookback=lookback, coef=fitted, **kwargs
         )
-    if model not in ("LinearRegression", "GradientBoosting"):
+    if model not in FITTED_MODELS:
         raise ValueError(f"unknown model {model!r}")
-    marked = mark_origins(grid, step_seconds, lookback, horizon, **kwargs)
-    static = []
-    if calendar_static:
-        cal = calendar(TS)
-        static = [c for c in cal if c.endswith(("_sin", "_cos"))]
-        marked = marked.withColumns({c: cal[c] for c in static})
-    if "role" not in marked.columns:
-        marked = marked.withColumn("role", F.when(train, "training").otherwise("validation") if train is not None else F.lit("training"))
-    rows = supervised(marked, step_seconds, lookback, horizon, static=static, keep_open=True)
-    fit = rows.where("fit_ok")
+    rows = _windows(grid, step_seconds, lookback, horizon, train, calendar_static, **kwargs)
+    if fitted is None:
+        fitted = _fit_rows(rows, model, horizon, params)
+    origins = rows.where("is_origin")
     if model == "LinearRegression":
-        coef = fit_linear(fit.select(SERIES, "x", "y"), [SERIES], ridge=params.get("ridge", 0.0))
-        return predict_linear(rows.where("is_origin"), coef, step_seconds, horizon)
-    models = fit_trees(fit, range(1, horizon + 1), params)
-    return predict_trees(models, rows.where("is_origin"), step_seconds)
+        return predict_linear(origins, fitted, step_seconds, horizon)
+    return predict_trees(fitted, origins, step_seconds)
 
 
 def backtest(
@@ -164,7 +199,12 @@ def halves(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def evaluate(readings: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int, **kwargs) -> dict[str, DataFrame]:
     """Held-out evaluation: the backtest blocks at stride = horizon from the
-    first possible origin."""
+    first possible origin.
+
+    A fitted model comes as ``fitted`` (see :func:`fit`): held-out readings are only forecast, never fitted.
+    """
+    if model in FITTED_MODELS and kwargs.get("fitted") is None:
+        raise ValueError(f"{model} must be fitted on other readings first")
     return backtest(readings, step_seconds, model, lookback, horizon, stride=horizon, start_fraction=0.0, **kwargs)
 
 
@@ -193,14 +233,16 @@ def train_fleet(
 
     ``steps`` scores all steps of each window or only the last one, the same
     on both parts. Returns ``runs`` (ready for the registry), ``failures``,
-    ``scored`` and ``summary``.
+    ``scored``, ``summary`` and ``fitted``, which :func:`evaluate` and :func:`forward_forecast` take.
     """
-    began = time.monotonic()
     good, failures = split_failures(readings, lookback, horizon)
     grid = prepare(good, step_seconds)
     rule = sequential_split if model in SINGLE_SERIES_MODELS else seasonal_split
     split = settle(rule(grid, step_seconds, validation).drop("idx", "n_rows"))
-    f = forecast(split, step_seconds, model, lookback, horizon, train=F.col("role") == "training", params=params, start_fraction=0.0)
+    began = time.monotonic()
+    fitted = fit(split, step_seconds, model, lookback, horizon, F.col("role") == "training", params)
+    seconds = time.monotonic() - began  # the fit alone
+    f = forecast(split, step_seconds, model, lookback, horizon, params=params, fitted=fitted, start_fraction=0.0)
     roles = split.select(SERIES, F.col(TS).alias("origin_ts"), "role")
     scored = metrics.score(f, split).join(roles, [SERIES, "origin_ts"])
     if steps == "last":
@@ -216,7 +258,6 @@ def train_fleet(
     created = F.localtimestamp()
     base = building if building is not None else F.col(SERIES)
     label = next((k for k, s in STEP_SECONDS.items() if s == step_seconds), f"{step_seconds}s")
-    seconds = time.monotonic() - began
     runs = facts.join(wide, SERIES, "left").select(
         model_id(base, F.lit(model), created, F.concat_ws("_", F.lit(uuid.uuid4().hex[:8]), SERIES)).alias("model_id"),
         SERIES, base.alias("building"), F.lit(model).alias("model_type"), created.alias("created_at"),
@@ -227,7 +268,7 @@ def train_fleet(
         (F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]) if params
          else F.create_map().cast("map<string,string>")).alias("params"),
     )
-    return {"runs": runs, "failures": failures, "scored": scored, "summary": summarise(runs, failures)}
+    return {"runs": runs, "failures": failures, "scored": scored, "summary": summarise(runs, failures), "fitted": fitted}
 
 
 def summarise(runs: DataFrame, failures: DataFrame) -> DataFrame:
@@ -249,13 +290,13 @@ def forward_origins(readings: DataFrame, step_seconds: int) -> DataFrame:
 
 def forward_forecast(
     readings: DataFrame, step_seconds: int, horizon: int, model: str = "NaiveSeasonal",
-    lookback: int = 24, trained_horizon: int | None = None, params: dict | None = None,
+    lookback: int = 24, trained_horizon: int | None = None, params: dict | None = None, fitted: DataFrame | dict | None = None,
 ) -> DataFrame:
     """Forecast past the last known load of every series.
 
     The future steps are appended as rows without load, so a forward forecast
-    is the rolling forecast of one extra origin. Rows already present after
-    the last known load (known-ahead covariates) are kept.
+    is the rolling forecast of one extra origin. ``fitted`` is a stored fit;
+    without it the model is fitted on all known rows.
     """
     if trained_horizon is not None and horizon > trained_horizon:
         raise ValueError(f"horizon {horizon} exceeds the trained {trained_horizon}")
@@ -269,7 +310,7 @@ def forward_forecast(
     starts = readings_length(grid)
     f = forecast(
         rows, step_seconds, model, lookback, horizon, train=F.col("_known"), params=params,
-        starts=starts,
+        starts=starts, fitted=fitted,
     )
     return f
 

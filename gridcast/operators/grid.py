@@ -16,7 +16,8 @@ def regular_grid(df: DataFrame, step_seconds: int) -> DataFrame:
 
     Result rows carry ``_blk`` and are already hashed by ``(series_id, _blk)``,
     so the fills that follow need no further shuffle of the rows. Grid points
-    are generated per block, never per series.
+    are generated per block, never per series. Of readings at one time the row with the smallest known values stays,
+    whole; readings between the steps are left out and counted by :func:`off_grid`.
     """
     length = block_seconds(step_seconds)
     values = [c for c in df.columns if c not in (SERIES, TS, BLK)]
@@ -40,13 +41,22 @@ def regular_grid(df: DataFrame, step_seconds: int) -> DataFrame:
     readings = df.select(
         SERIES, block_of(e, length).alias(BLK), TS, *values, F.lit(False).alias("_grid")
     )
-    return (
-        points.unionByName(readings)
-        .repartition(SERIES, BLK)
-        .groupBy(SERIES, BLK, TS)
-        .agg(*[F.max(c).alias(c) for c in values], F.max("_grid").alias("_grid"))
-        .where("_grid")
-        .drop("_grid")
+    per_time = points.unionByName(readings).repartition(SERIES, BLK).groupBy(SERIES, BLK, TS)
+    if len(values) < 2:
+        return per_time.agg(*[F.min(c).alias(c) for c in values], F.max("_grid").alias("_grid")).where("_grid").drop("_grid")
+    ranked = F.struct(*[x for c in values for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))])
+    rows = per_time.agg(F.min(ranked).alias("_row"), F.max("_grid").alias("_grid")).where("_grid")
+    return rows.select(SERIES, BLK, TS, *[F.col("_row")[c].alias(c) for c in values])
+
+
+def off_grid(df: DataFrame, step_seconds: int) -> DataFrame:
+    """Per series the readings, and how many of them lie between the steps counted from the first one."""
+    e = epoch(TS)
+    phases = df.where(present(SERIES, TS)).groupBy(SERIES, F.pmod(e, F.lit(step_seconds)).alias("_p")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(e).alias("_lo")
+    )
+    return phases.groupBy(SERIES).agg(
+        F.sum("n").alias("n_readings"), (F.sum("n") - F.min_by("n", "_lo")).alias("n_off_grid")
     )
 
 

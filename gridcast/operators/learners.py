@@ -6,8 +6,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from gridcast.operators.features import temperature_features
 from gridcast.session import settle
 
 FORECAST = (SERIES, "model", "origin_ts", "h", TS, "yhat")
-# Most partial matrices a task keeps before it hands them on.
-HELD_PARTIALS = 512
+# Most bytes of partial matrices a task keeps before it hands them on.
+HELD_BYTES = 64 << 20
 
 
 def _partial_grams(keys: Sequence[str]):
@@ -27,7 +28,8 @@ def _partial_grams(keys: Sequence[str]):
 
         def flush():
             out = pd.DataFrame([list(k) for k in held], columns=list(keys))
-            out["g"] = [g.ravel().tolist() for g in held.values()]
+            out["g"] = [g[np.triu_indices(len(g))].tolist() for g, _ in held.values()]
+            out["m"] = [m for _, m in held.values()]
             held.clear()
             return out
 
@@ -38,9 +40,9 @@ def _partial_grams(keys: Sequence[str]):
                 z = np.hstack([np.ones((len(part), 1)), x, y])
                 key = key if isinstance(key, tuple) else (key,)
                 gram = z.T @ z
-                held[key] = held[key] + gram if key in held else gram
-            if len(held) >= HELD_PARTIALS:
-                yield flush()
+                held[key] = (held[key][0] + gram if key in held else gram, y.shape[1])
+                if sum(g.nbytes for g, _ in held.values()) >= HELD_BYTES:
+                    yield flush()
         if held:
             yield flush()
 
@@ -51,26 +53,25 @@ def fit_linear(rows: DataFrame, keys: Sequence[str], ridge: float = 0.0) -> Data
     """Least squares of every target on the features, one model per key.
 
     ``rows`` hold arrays ``x`` and ``y``. Each task reduces its rows to one
-    cross-product matrix per key; matrices are summed by Spark cell by cell and
-    only a p x p system per key is solved, so a series of any length is fitted
-    by all tasks that hold part of it. Returns ``(keys, h, w)`` with the
+    cross-product matrix per key; the upper triangles are summed by Spark as
+    vectors, combined before the shuffle, and only a p x p system per key is
+    solved, so a series of any length is fitted by all tasks that hold part of it. Returns ``(keys, h, w)`` with the
     intercept first in ``w``; collinear features get the minimum-norm solution.
     ``ridge`` penalises the slopes, not the intercept.
     """
     schema = rows.select(*keys).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    widths = rows.select(*keys, "x", "y")
-    partial = widths.mapInPandas(_partial_grams(keys), f"{ddl}, g array<double>")
-    cells = partial.select(*keys, F.posexplode("g").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
-    grams = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("c"))  # p * p cells
-    n_y = rows.groupBy(*keys).agg(F.max(F.size("y")).alias("_m"))
+    partial = rows.select(*keys, "x", "y").mapInPandas(_partial_grams(keys), f"{ddl}, g array<double>, m int")
+    grams = partial.groupBy(*keys).agg(Summarizer.sum(array_to_vector("g")).alias("_g"), F.max("m").alias("_m"))
 
     @F.pandas_udf("array<array<double>>")
     def solve(g: pd.Series, m: pd.Series) -> pd.Series:
         out = []
         for flat, n in zip(g, m):
-            side = int(round(len(flat) ** 0.5))
-            full = np.asarray(flat, dtype=float).reshape(side, side)
+            side = int(((8 * len(flat) + 1) ** 0.5 - 1) / 2 + 0.5)
+            full = np.zeros((side, side))
+            full[np.triu_indices(side)] = flat
+            full = full + np.triu(full, 1).T
             p = side - int(n)
             a, b = full[:p, :p].copy(), full[:p, p:]
             if ridge:
@@ -80,7 +81,7 @@ def fit_linear(rows: DataFrame, keys: Sequence[str], ridge: float = 0.0) -> Data
             out.append(w.T.tolist())
         return pd.Series(out)
 
-    solved = grams.join(n_y, [*keys]).select(*keys, solve(F.col("c.v"), F.col("_m")).alias("ws"))
+    solved = grams.select(*keys, solve(vector_to_array("_g"), F.col("_m")).alias("ws"))
     return solved.select(*keys, F.posexplode("ws").alias("_i", "w")).select(
         *keys, (F.col("_i") + 1).alias("h"), "w"
     )
@@ -94,14 +95,15 @@ def dot(w: Column, x: Column) -> Column:
 
 def predict_linear(origins_x: DataFrame, coef: DataFrame, step_seconds: int, horizon: int, model: str = "LinearRegression") -> DataFrame:
     """Forecast every step of every origin row ``(series_id, ts, x)``."""
-    d = origins_x.select(
-        SERIES, F.col(TS).alias("origin_ts"), "x", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
+    table = coef.groupBy(SERIES).agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("_c"))  # one row per step
+    scored = attach(origins_x.select(SERIES, F.col(TS).alias("origin_ts"), "x"), table, [SERIES], salts=8)
+    steps = F.transform(
+        F.filter("_c", lambda c: c["h"] <= horizon), lambda c: F.struct(c["h"].alias("h"), dot(c["w"], F.col("x")).alias("yhat"))
     )
-    scored = attach(d, coef, [SERIES, "h"], salts=8)
+    scored = scored.select(SERIES, "origin_ts", F.inline(steps))
     return scored.select(
         SERIES, F.lit(model).alias("model"), "origin_ts", "h",
-        add_seconds("origin_ts", (F.col("h") - 1) * step_seconds).alias(TS),
-        dot(F.col("w"), F.col("x")).alias("yhat"),
+        add_seconds("origin_ts", (F.col("h") - 1) * step_seconds).alias(TS), "yhat",
     )
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from gridcast.functions.blocks import LOAD, SERIES, TS, attach, exact_percentiles
 from gridcast.functions.time import WEEKDAYS, add_seconds, epoch, season
 
-# Bins of the relation curve, size of the scatter sample,
+# Bins of the relation curve,
 # thresholds of the correlation labels.
-BINS, SCATTER_ROWS, STRONG, MODERATE, MIN_OVERLAP_ROWS = 24, 3000, 0.6, 0.3, 10
+BINS, STRONG, MODERATE, MIN_OVERLAP_ROWS = 24, 0.6, 0.3, 10
 
 
 def column_stats(df: DataFrame, roles: dict[str, str], keys: Sequence[str] = (SERIES,)) -> DataFrame:
@@ -147,7 +147,7 @@ def relation_curve(df: DataFrame, covariate: str, bins: int = BINS) -> DataFrame
     return means.join(exact_percentiles(d, keys, "y", {"p25": 0.25, "p75": 0.75}), keys)
 
 
-def scatter_sample(df: DataFrame, covariate: str, size: int = SCATTER_ROWS, seed: int = 0) -> DataFrame:
+def scatter_sample(df: DataFrame, covariate: str, size: int, seed: int = 0) -> DataFrame:
     """At most ``size`` seeded rows per series; the same rows on every run.
 
     Ranks are taken inside hash parts first, so at most ``size`` rows per part

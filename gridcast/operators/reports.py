@@ -12,14 +12,14 @@ from gridcast.operators import metrics, outliers, profile
 from gridcast.operators.grid import gaps
 from gridcast.operators.splits import role_codes, seasonal_split, season_spans, segment_summary, segments
 
-# Tolerances of the curve diagnostics, plot size.
-VAL_RISE, STILL_IMPROVING, PLOT_POINTS = 0.05, 0.01, 60000
+# Tolerances of the curve diagnostics.
+VAL_RISE, STILL_IMPROVING = 0.05, 0.01
 
 
-def data_report(df: DataFrame, step_seconds: int, covariates: Sequence[str] = (), mapped: Sequence[str] = ()) -> dict[str, DataFrame]:
+def data_report(df: DataFrame, step_seconds: int, covariates: Sequence[str] = (), mapped: Sequence[str] = (), plot_points: int | None = None, scatter: int | None = None) -> dict[str, DataFrame]:
     """All exploration tables of a dataset, each a DataFrame.
 
-    Aggregates use all rows even where the plotted series is thinned.
+    All of them use all rows. Only ``plot_points`` thins the plotted series, and only ``scatter`` adds samples of so many rows.
     """
     split = seasonal_split(df, step_seconds)
     segs = segments(split, step_seconds)
@@ -37,14 +37,15 @@ def data_report(df: DataFrame, step_seconds: int, covariates: Sequence[str] = ()
         "peak_windows": profile.peak_windows(df),
         "segments": segs,
         "split_summary": segment_summary(segs),
-        "series": outliers.thin(role_codes(split), step_seconds, PLOT_POINTS),
+        "series": role_codes(split) if plot_points is None else outliers.thin(role_codes(split), step_seconds, plot_points),
         "unmapped": df.sparkSession.createDataFrame([(c,) for c in df.columns if c not in known], "column_name string"),
     }
     if covariates:
         out["correlation"] = profile.covariate_correlation(df, covariates)
         for c in covariates:
             out[f"relation_{c}"] = profile.relation_curve(df, c)
-            out[f"scatter_{c}"] = profile.scatter_sample(df, c)
+            if scatter:
+                out[f"scatter_{c}"] = profile.scatter_sample(df, c, scatter)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.sources.readings import DataLoadError, parse_timestamp
+from gridcast.sources.readings import DataLoadError, nan_to_null, parse_timestamp
 
 # Case-insensitive substrings of column names, by role.
 DATETIME_PATTERNS = ("datetime", "timestamp", "date", "time", "dt")
@@ -29,8 +29,8 @@ FUTURE_HINT_PATTERNS = (
 REDUNDANT_CALENDAR_PATTERNS = ("is_weekend", "weekend", "workday", "business_day")
 CATEGORICAL_CODE_PATTERNS = ("code",)
 TEMPERATURE_PATTERNS = ("temp", "t_out", "tout", "t2m")
-# Share of a sample that must parse, and the sample size.
-PARSE_SHARE, PARSE_SAMPLE = 0.9, 20
+# Fixed value: share of the values that must parse.
+PARSE_SHARE = 0.9
 
 
 @dataclass
@@ -53,17 +53,16 @@ def name_hits(name: str, patterns: Sequence[str]) -> bool:
     return any(p in name.lower() for p in patterns)
 
 
-def parse_shares(df: DataFrame, columns: Sequence[str], sample: int = PARSE_SAMPLE) -> dict[str, float]:
-    """Share of the first non-null values of each text column that are times.
+def parse_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Share of all non-null values of each text column that are times.
 
-    One limited read per column; only the share reaches the driver.
+    One aggregate over all columns; only the shares reach the driver.
     """
-    out = {}
-    for c in columns:
-        head = df.select(F.col(f"`{c}`").alias("v")).where("v is not null").limit(sample)
-        share = head.agg(F.avg(parse_timestamp("v").isNotNull().cast("double"))).first()[0]
-        out[c] = share or 0.0
-    return out
+    if not columns:
+        return {}
+    values = [F.col(f"`{c}`") for c in columns]
+    shares = [F.avg(F.when(v.isNotNull(), parse_timestamp(v).isNotNull().cast("double"))).alias(f"s{i}") for i, v in enumerate(values)]
+    return {c: share or 0.0 for c, share in zip(columns, df.agg(*shares).first(), strict=True)}
 
 
 def detect_roles(
@@ -79,11 +78,9 @@ def detect_roles(
     text = [c for c, t in types.items() if isinstance(t, T.StringType)]
     clock = [c for c, t in types.items() if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))]
     named = [c for c in text if name_hits(c, datetime)]
-    # names first, so an unnamed text column is read only when none of them parses
-    found = next((c for c in named if parse_shares(df, [c])[c] >= PARSE_SHARE), None)
-    found = found or next(
-        (c for c in text if c not in named and parse_shares(df, [c])[c] >= PARSE_SHARE), None
-    )
+    shares = parse_shares(df, text)
+    by_name_first = [*named, *(c for c in text if c not in named)]
+    found = next((c for c in by_name_first if shares[c] >= PARSE_SHARE), None)
     found = found or next((c for c in [*clock, *numeric] if name_hits(c, datetime)), None)
     pool = [c for c in numeric if c != found]
     barred = [c for c in pool if name_hits(c, exclude)]
@@ -142,7 +139,7 @@ def to_readings(df: DataFrame, roles: ColumnRoles, series: str | None = None) ->
     parsed = df.schema[roles.datetime].dataType
     ts = parse_timestamp(roles.datetime) if isinstance(parsed, T.StringType) else F.col(roles.datetime)
     key = F.col(series).cast("string") if series else F.lit("series")
-    return df.select(
+    return nan_to_null(df.select(
         key.alias("series_id"), ts.cast("timestamp_ntz").alias("ts"),
         F.col(roles.target).cast("double").alias("load"), *roles.past, *roles.future,
-    )
+    ))

@@ -18,10 +18,17 @@ from gridcast.sources import catalog, readings, registry, weather
 # -- A -----------------------------------------------------------------------------------------
 
 
-@query("a1_dataset_catalog")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("a1_dataset_catalog", "WITH f AS (" + " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS relative_path, count(*) AS n_rows, {'min(ts), max(ts)' if t == 'events' else 'NULL::TIMESTAMP, NULL::TIMESTAMP'} FROM {t}" for t in TABLES
+) + """), g(relative_path, n_rows, min_ts, max_ts) AS (SELECT * FROM f)
+SELECT *, 'parquet' AS format, (SELECT count(*) FROM g) AS n_total, false AS truncated FROM g""")
 def a1(spark, sf):
-    d = catalog.list_datasets(spark, sf, limit=500)
-    return d.select("relative_path", "format", "size_bytes", "n_total", "truncated")
+    files = catalog.list_datasets(spark, sf).join(catalog.file_rows(spark, sf), "relative_path", "left")
+    times = catalog.profile_files(events(spark, sf), "ts", sf).select(F.col("file").alias("relative_path"), "min_ts", "max_ts")
+    return files.join(times, "relative_path", "left").select("relative_path", "format", "n_rows", "min_ts", "max_ts", "n_total", "truncated")
 
 
 @query("a2_dataset_profile", """
@@ -160,7 +167,8 @@ def b1(spark, sf):
 
 
 @query("b2_parse_share", """
-SELECT 'event_time' AS column_name, 1.0::DOUBLE AS share UNION ALL SELECT 'event_type', 0.0""")
+SELECT 'event_time' AS column_name, avg((try_cast(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) IS NOT NULL)::INT)::DOUBLE AS share FROM events
+UNION ALL SELECT 'event_type', avg((try_cast(event_type AS TIMESTAMP) IS NOT NULL)::INT)::DOUBLE FROM events""")
 def b2(spark, sf):
     d = text_events(spark, sf)
     shares = roles.parse_shares(d, ["event_time", "event_type"])

@@ -78,7 +78,7 @@ def g5(spark, sf):
 @query("g6_linear_one_lag", rounded(f"""
 WITH {HOURLY}, {filled_sql('hourly')}, {origins_sql(1, 3, 3)},
 p AS (SELECT series_id, i, lag(load) OVER w AS x, load AS y1, lead(load, 1) OVER w AS y2, lead(load, 2) OVER w AS y3 FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
-q AS (SELECT * FROM p WHERE x IS NOT NULL AND y3 IS NOT NULL),
+q AS (SELECT p.* FROM p JOIN (SELECT series_id, min(i) AS s FROM origins GROUP BY ALL) USING (series_id) WHERE x IS NOT NULL AND i + 2 < s),
 c AS (SELECT series_id, 1::BIGINT AS h, regr_slope(y1, x) AS a, regr_intercept(y1, x) AS b FROM q GROUP BY ALL
   UNION ALL SELECT series_id, 2, regr_slope(y2, x), regr_intercept(y2, x) FROM q GROUP BY ALL
   UNION ALL SELECT series_id, 3, regr_slope(y3, x), regr_intercept(y3, x) FROM q GROUP BY ALL)
@@ -106,7 +106,8 @@ def g7(spark, sf):
 WITH RECURSIVE {HOURLY}, {filled_sql('hourly')}, {origins_sql(24, 24, 24)},
 z AS (SELECT series_id, ts, i, load, load - lag(load) OVER (PARTITION BY series_id ORDER BY ts) AS z FROM idx),
 l AS (SELECT *, lag(z) OVER w AS z1, lag(load) OVER w AS l1 FROM z WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
-c AS (SELECT series_id, regr_slope(z, z1) AS a, regr_intercept(z, z1) AS b FROM l GROUP BY ALL),
+c AS (SELECT series_id, regr_slope(z, z1) AS a, regr_intercept(z, z1) AS b
+  FROM l JOIN (SELECT series_id, min(i) AS s FROM origins GROUP BY ALL) USING (series_id) WHERE i < s GROUP BY ALL),
 r AS (SELECT o.series_id, o.origin_ts, 0::BIGINT AS h, z1 AS z, l1 AS yhat, a, b FROM origins o JOIN l USING (series_id, i) JOIN c USING (series_id)
   UNION ALL SELECT series_id, origin_ts, h + 1, b + a * z, yhat + b + a * z, a, b FROM r WHERE h < 24)
 SELECT series_id, 'ARIMA' AS model, origin_ts, h, origin_ts + (h - 1) * INTERVAL 1 HOUR AS ts, yhat FROM r WHERE h > 0""", "yhat"))

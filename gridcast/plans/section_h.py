@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import fleet, grid, metrics
 from gridcast.plans.base import (
-    DAILY, DAY, HOUR, HOURLY, METRIC_COLUMNS, METRIC_SQL, daily, hourly, query, rounded, scored_sql,
+    DAILY, DAY, HOUR, HOURLY, METRIC_COLUMNS, METRIC_SQL, daily, filled_sql, hourly, query, rounded, scored_sql,
 )
 from gridcast.plans.section_ab import RUNS, order_runs
 from gridcast.plans.section_cd import scored
@@ -158,6 +158,18 @@ def h16(spark, sf):
     return fleet.evaluate(hourly(spark, sf), HOUR, "NaiveSeasonal", 24, 24)["horizon"]
 
 
+@query("h16_stored_fit", rounded(f"""
+WITH {HOURLY}, early AS (SELECT * FROM hourly WHERE ts < TIMESTAMP '2024-01-20'), late AS (SELECT * FROM hourly WHERE ts >= TIMESTAMP '2024-01-20'),
+e AS (WITH {filled_sql('early')} SELECT * FROM filled), t AS (SELECT series_id, lag(load) OVER w AS x, load AS y FROM e WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+c AS (SELECT series_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM t WHERE x IS NOT NULL GROUP BY ALL),
+f AS (WITH {filled_sql('late')} SELECT * FROM filled), p AS (SELECT series_id, ts AS origin_ts, 1::BIGINT AS h, lag(load) OVER w AS x, load AS actual FROM f WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+SELECT series_id, 'LinearRegression' AS model, origin_ts, h, origin_ts AS ts, b + a * x AS yhat, actual FROM p JOIN c USING (series_id) WHERE x IS NOT NULL""", "yhat actual"))
+def h16_stored(spark, sf):
+    d, cut = hourly(spark, sf), F.lit("2024-01-20").cast("timestamp_ntz")
+    fitted = fleet.fit(fleet.prepare(d.where(F.col("ts") < cut), HOUR), HOUR, "LinearRegression", 1, 1, calendar_static=False)
+    return fleet.evaluate(d.where(F.col("ts") >= cut), HOUR, "LinearRegression", 1, 1, fitted=fitted, calendar_static=False)["forecasts"]
+
+
 @query("h17_stride_sweep", rounded(f"""
 WITH {HOURLY}, {scored_sql(stride=1)}, o AS (SELECT *, (epoch(origin_ts) - epoch(min(origin_ts) OVER (PARTITION BY series_id)))::BIGINT // 3600 AS rel FROM scored),
 k AS (SELECT o.*, stride FROM o CROSS JOIN (SELECT unnest([1, 6, 12, 24])::BIGINT AS stride) x WHERE rel % stride = 0)

@@ -10,21 +10,21 @@ from gridcast.functions.blocks import blocked, previous_ts
 from gridcast.functions.time import epoch, frequency_label
 from gridcast.sources.readings import parse_timestamp
 
-# Limits of the listing.
-MAX_DEPTH, MIN_LIMIT, MAX_LIMIT = 4, 1, 500
 # Directories that hold tools, not data.
 SKIPPED_DIRECTORIES = ("__pycache__", "node_modules", ".git", ".venv", "venv")
 
 
 def list_datasets(
-    spark: SparkSession, directory: str, recursive: bool = True, limit: int = 50
+    spark: SparkSession, directory: str, recursive: bool = True, limit: int | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """CSV and Parquet files under a directory, by path, with the full count.
 
+    ``limit`` keeps the first files by path, ``max_depth`` those in at most so many nested folders; neither is set by default.
+
     Only file metadata is read: the content column never leaves the scan.
     """
-    if not MIN_LIMIT <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be in {MIN_LIMIT}..{MAX_LIMIT}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", recursive)
@@ -32,27 +32,38 @@ def list_datasets(
         .load(directory)
         .select("path", "length", "modificationTime")
     )
-    root = directory.rstrip("/").split(":", 1)[-1].replace("//", "/")
-    rel = F.substring_index(F.col("path"), root + "/", -1)
+    rel = relative_path(F.col("path"), directory)
     parts = F.split(rel, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     kept = (
         files.withColumn("relative_path", rel)
-        .where(F.size(folders) <= MAX_DEPTH)
+        .where(F.size(folders) <= max_depth if max_depth is not None else F.lit(True))
         .where(~F.exists(parts, lambda p: p.startswith(".")))
         .where(~F.arrays_overlap(folders, F.array(*[F.lit(d) for d in SKIPPED_DIRECTORIES])) | (F.size(folders) == 0))
         .withColumn("format", F.lower(F.substring_index("relative_path", ".", -1)))
     )
     total = kept.agg(F.count(F.lit(1)).alias("n_total"))
-    top = kept.orderBy(F.lower("relative_path"), "relative_path").limit(limit)
+    top = kept.orderBy(F.lower("relative_path"), "relative_path")
+    top = top if limit is None else top.limit(limit)
     return top.select(
         "relative_path", "format", F.col("length").alias("size_bytes"),
         "modificationTime", total.scalar().alias("n_total"),
-    ).withColumn("truncated", F.col("n_total") > limit)
+    ).withColumn("truncated", F.lit(False) if limit is None else F.col("n_total") > limit)
+
+
+def relative_path(path: Column, directory: str) -> Column:
+    root = directory.rstrip("/").split(":", 1)[-1].replace("//", "/")
+    return F.substring_index(path, root + "/", -1)
+
+
+def file_rows(spark: SparkSession, directory: str) -> DataFrame:
+    """``relative_path, n_rows`` of every Parquet file under a directory, whatever its columns: the scan reads no column."""
+    files = spark.read.schema("none int").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(directory)
+    return files.groupBy(relative_path(F.col("_metadata.file_path"), directory).alias("relative_path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def profile_files(df: DataFrame, ts: str) -> DataFrame:
-    """Per file: rows, time range, unreadable timestamps and cadence.
+def profile_files(df: DataFrame, ts: str, directory: str | None = None) -> DataFrame:
+    """Per file: rows, time range, unreadable timestamps and cadence. ``file`` is its path below ``directory``, else its name.
 
     ``df`` is a scan of one format with a common schema; the file name comes
     from the scan's metadata. Gaps are measured between distinct readable
@@ -61,18 +72,19 @@ def profile_files(df: DataFrame, ts: str) -> DataFrame:
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     parsed: Column = F.col(ts) if isinstance(df.schema[ts].dataType, (T.TimestampNTZType, T.TimestampType)) else parse_timestamp(ts)
     rows = df.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col(ts).alias("_raw"), parsed.cast("timestamp_ntz").alias("_t"),
     )
-    stats = rows.groupBy("file").agg(
+    stats = rows.groupBy("_path").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("_t").alias("min_ts"),
         F.max("_t").alias("max_ts"),
         F.count_if(F.col("_raw").isNotNull() & F.col("_t").isNull()).alias("n_unparseable"),
     )
-    cadence = median_gap(rows.select("file", F.col("_t").alias("ts")), ["file"])
-    return stats.join(cadence, "file", "left").select(
-        "file", "n_rows", "min_ts", "max_ts", "n_unparseable",
+    cadence = median_gap(rows.select("_path", F.col("_t").alias("ts")), ["_path"])
+    name = relative_path(F.col("_path"), directory) if directory else F.element_at(F.split("_path", "/"), -1)
+    return stats.join(cadence, "_path", "left").select(
+        name.alias("file"), "n_rows", "min_ts", "max_ts", "n_unparseable",
         frequency_label("median_gap_s").alias("frequency"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.concat_ws(",", *[F.lit(c) for c in numeric]).alias("numeric_columns"),

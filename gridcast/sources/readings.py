@@ -24,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     df = reader.csv(path)
     if not df.columns or df.isEmpty():
         raise DataLoadError(f"no rows in {path}")
-    return df
+    return nan_to_null(df)
 
 
 def parse_csv_lines(lines: DataFrame, column: str, schema: T.StructType) -> DataFrame:

@@ -43,7 +43,7 @@ def list_runs(
     building: str | None = None,
     model_type: str | None = None,
     sort_by: str = "created",
-    limit: int = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     """Runs of a building or type, sorted, with the total that matched."""
     kept = latest(runs)
@@ -53,7 +53,8 @@ def list_runs(
         kept = kept.where(F.col("model_type") == model_type)
     total = kept.agg(F.count(F.lit(1)).alias("n_total"))
     make, column = ORDERS[sort_by]
-    top = kept.orderBy(make(column), F.asc("model_id")).limit(limit)
+    top = kept.orderBy(make(column), F.asc("model_id"))
+    top = top if limit is None else top.limit(limit)
     return top.withColumn("n_total", total.scalar())
 
 
@@ -71,7 +72,9 @@ class RunRegistry:
     def all(self) -> DataFrame:
         try:
             return self.spark.read.schema(RUN_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], RUN_SCHEMA)
 
     def list(self, **kwargs) -> DataFrame:

@@ -1,5 +1,7 @@
 """Block-wise operators against plain pandas, with blocks of eight steps."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -271,3 +273,12 @@ def test_epoch_is_wall_clock(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == pd.Timestamp("2021-03-14 02:30").timestamp()
+
+
+def test_duplicates_keep_a_whole_row_and_off_grid_readings_are_counted(spark):
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    rows = [("a", at(0), 5.0, 1.0), ("a", at(0), 3.0, 9.0), ("a", at(0), None, 0.0), ("a", at(0, 30), 7.0, 7.0), ("a", at(2), None, 4.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, load double, x double")
+    got = [(r["load"], r["x"]) for r in grid.regular_grid(df, HOUR).orderBy("ts").collect()]
+    assert got == [(3.0, 9.0), (None, None), (None, 4.0)]
+    assert grid.off_grid(df, HOUR).first().asDict() == {"series_id": "a", "n_readings": 5, "n_off_grid": 1}

@@ -27,6 +27,12 @@ def test_catalog_lists_and_profiles_files(spark, tmp_path):
     assert [r["relative_path"] for r in got] == ["b.csv"] and got[0]["n_total"] == 2 and got[0]["truncated"]
     with pytest.raises(ValueError):
         catalog.list_datasets(spark, str(tmp_path), limit=0)
+    assert [r["relative_path"] for r in catalog.list_datasets(spark, str(tmp_path)).collect()] == ["b.csv", "sub/A.csv"]
+    assert catalog.list_datasets(spark, str(tmp_path), max_depth=0).count() == 1
+    (tmp_path / "sub/b.csv").write_text(rows)
+    same = readings.read_csv(spark, str(tmp_path), "timestamp string, load_kwh double, outdoor_temp double")
+    named = {r["file"]: r["n_rows"] for r in catalog.profile_files(same, "timestamp", str(tmp_path)).collect()}
+    assert named["b.csv"] == named["sub/b.csv"] + 1
     df = readings.read_csv(spark, str(tmp_path / "b.csv"), "timestamp string, load_kwh double, outdoor_temp double")
     p = catalog.profile_files(df, "timestamp").first()
     assert (p["n_rows"], p["n_unparseable"], p["frequency"]) == (241, 1, "h")
