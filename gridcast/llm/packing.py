@@ -34,7 +34,8 @@ class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, for a tokenizer whose tokens never span white space.
 
     Each different word goes through the tokenizer once and is then looked up. ASCII letters are lowered first, as the
-    tokenizer does itself.
+    tokenizer does itself. Texts in which that is not the same go through it whole: those with the opening of a special token, which is
+    matched before letters are lowered, and those with combining marks, which some lower letters take and their capitals do not.
     """
 
     def __init__(self, path: str):
@@ -67,7 +68,10 @@ class WordEncoder:
             self.young[w] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = _STOP.sub(rb" \1\2", text.encode().lower()).split()
+        raw = text.encode()
+        if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:  # the two bytes begin U+0300 to U+037F
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        words = _STOP.sub(rb" \1\2", raw.lower()).split()
         young = self.young
         try:
             return b"".join([young[w] for w in words])
@@ -140,7 +144,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             full = min(hi - lo, left // per)
             if full:  # sequences that take as many of this length as go in
                 slots.append((length, rank, rank + full * per, lo, per, capacity - fit))
-                rest, count, used = fit - full * 0 - per * length, full, full * per
+                rest, count, used = fit - per * length, full, full * per
             else:  # one last sequence takes what is left
                 slots.append((length, rank, rank + left, lo, left, capacity - fit))
                 rest, count, used = fit - left * length, 1, left
