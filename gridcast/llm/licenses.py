@@ -31,14 +31,18 @@ KNOWN = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("proprietary", "All rights reserved."),
 )
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NOTICE = r"(?m)^[^\n]*?(copyright[\x20\x09]+(\(c\)|©|[0-9])|\(c\)[\x20\x09]+[0-9]|©)[^\n]*$"
+_NOTICE = r"^[^\n]*?(copyright[\x20\x09]+(\(c\)|©|[0-9])|\(c\)[\x20\x09]+[0-9]|©)[^\n]*$"
 _SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def canonical(text: Column) -> Column:
-    """ASCII letters lower, copyright lines gone, signs and white space as single spaces, equivalent spellings as one."""
-    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), _NOTICE, "")
+    """Letters lower, copyright lines gone, ASCII signs and white space as single spaces, equivalent spellings as one.
+
+    Lines end at line feeds only. Only a text that holds one of the marks of a notice is searched for notices.
+    """
+    low = F.lower(text)
+    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    out = F.when(marked, F.regexp_replace(low, "(?md)" + _NOTICE, "")).otherwise(low)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, _SIGNS, " ")), F.lit(" "))
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -80,7 +84,7 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
-        out = f"regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), {quote(_NOTICE)}, '', 'g')"
+        out = f"regexp_replace(lower({x}), {quote('(?m)' + _NOTICE)}, '', 'g')"
         out = f"' ' || trim(regexp_replace({out}, {quote(_SIGNS)}, ' ', 'g')) || ' '"
         for a, b in EQUIVALENT:
             out = f"replace({out}, ' {a} ', ' {b} ')"

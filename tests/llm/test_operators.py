@@ -229,6 +229,19 @@ def test_packing_round_trip(spark):
     assert len(whole) == len(bins) and sum(len(r.ids) // 4 for r in whole) == sum(r.length for r in packed)
 
 
+def test_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary()
+    tokenizer, own = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = [
+        "Plain words. More, words.", "H\u0331 h\u0331 T\u0308 J\u030c E\u0301", "<|endoftext|> <|ENDOFTEXT|> <|EndOfText|>. x<|startoftext|>y", "It's DON'T we'LL 's. 't,",
+        "\u212a \u0130 \u03a3\u03a3 \u01c4", "a\u00a0b\u3000c\u0085d\x1ce", "\u65e5\u672c\u8a9e\u3002\u30cf\u309a", "x.y. 3.14. a1, \u00e9. \u00d7. \u00f7,", "",
+    ]
+    for t in [*texts, " ".join(texts[:2]), *texts]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_plan_equals_best_fit_one_by_one():
     rng = np.random.default_rng(1)
     for trial in range(30):
@@ -341,6 +354,12 @@ def test_codewords_are_apart():
         assert min((m[i] != m[j]).sum() for i in range(n) for j in range(i)) >= 2 and (np.abs(m.sum(axis=0)) < n).all()
 
 
+def test_notice_lines_end_at_line_feeds(spark):
+    texts = ["Kept line\nfoo\rCOPYRIGHT (C) 2020 A", "Kept line", "kept \u2028 line", "Licensed under CC BY 4.0.\r\n(c) 2021 B\r\n", "copyright law is prose"]
+    got = {r.doc_id: r for r in licenses.find_licenses(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got[0].digest == got[1].digest != got[2].digest and got[3].license == "CC-BY-4.0" and got[4].digest != got[1].digest
+
+
 def test_license_forms(spark):
     mit = dict(reversed(licenses.KNOWN[:3]))["MIT"]
     texts = [licenses.KNOWN[2][1].upper().replace(",", " , ") + "\nCopyright (c) 2020 A. Person\n", "prose\n  licenced under the APACHE Licence - version 2.0\nmore", mit, "Licensed under the Apache License, Version 2.0. and more"]
