@@ -63,12 +63,13 @@ def find_licenses(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """``doc_id, digest, license, line_licenses`` of every row of ``docs(doc_id, text, ...)``.
 
     ``license`` is the known licence whose canonical digest the whole text has, null if none; ``line_licenses`` are those that
-    whole lines have, distinct and sorted. Both are hash joins with ``table(digest, license)``, by default the known texts.
+    whole lines have, distinct and sorted. Both are hash joins with ``table(digest, license)``, by default the known texts; those are
+    as many rows as KNOWN and are broadcast, so lines do not move, while a table of one's own is joined as its size allows.
 
     A null or empty text has the digest of nothing and no licence. Blank lines are not looked up. Rows with equal doc_id and text are found once and reported each; an empty table gives an empty
     result; other columns are ignored.
     """
-    table = known(docs.sparkSession) if table is None else table
+    table = F.broadcast(known(docs.sparkSession)) if table is None else table
     own = docs.select("doc_id", F.xxhash64(text_of()).alias("_h"), digest(text_of()).alias("digest"))
     lines = docs.select(F.struct("doc_id", F.xxhash64(text_of()).alias("h")).alias("_k"), F.explode(F.split(text_of(), "\n")).alias("line"))
     lines = lines.where(F.length(F.trim("line")) > 0).select("_k", digest(F.col("line")).alias("digest"))
