@@ -29,6 +29,8 @@ LOAD = "load"
 BLK = "_blk"
 BLOCK_STEPS = 1024
 SALTS = 32
+# Parts in which the values of a crowded bucket are ordered.
+PARTS = 256
 
 
 def present(*columns: str) -> Column:
@@ -249,6 +251,15 @@ def per_salt(small: DataFrame, salts: int = SALTS) -> DataFrame:
     return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def in_parts(values: DataFrame, place: Sequence[str]) -> DataFrame:
+    """``_part`` of each distinct ``_v``: ascending parts of about equal size where ``_crowded``, else one."""
+    edges = values.where("_crowded").groupBy(*place).agg(
+        F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)], 16 * PARTS).alias("_edges")
+    )
+    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    return attach(values, edges, place, "left").withColumn("_part", F.when(F.col("_edges").isNull(), 0).otherwise(below)).drop("_edges")
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -256,6 +267,7 @@ def exact_percentiles(
     probs: dict[str, float],
     weight: str | None = None,
     buckets: int = 4096,
+    crowded: int = 65536,
 ) -> DataFrame:
     """Linear-interpolated percentiles per key without gathering a key's values.
 
@@ -264,6 +276,12 @@ def exact_percentiles(
     ranks; only the values of those buckets are counted and ordered. Rows meet
     the per-key facts in salted joins, so where these are small nothing but
     histograms is shuffled.
+
+    Buckets have equal width, so a far outlier leaves most rows in one bucket. A
+    bucket of more than ``crowded`` rows is ordered in parts: approximate
+    quantiles of its distinct values are the edges of parts of about equal size,
+    and counts per part carry the ranks from one to the next. Edges only deal the
+    values out, so the result stays exact.
     """
     n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = with_salt(df.where(present(value, *keys))).select(
@@ -290,18 +308,29 @@ def exact_percentiles(
             F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))
         )
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("_b", "_before")).alias("_sel"))  # at most two buckets per level
+        .agg(F.collect_list(F.struct("_b", "_before", "_bn")).alias("_sel"))  # at most two buckets per level
     )
     wanted = rows.join(per_salt(span.join(hist, [*keys])), [*keys, "_salt"]).withColumn("_b", bucket)
     hit = F.filter("_sel", lambda s: s["_b"] == F.col("_b"))
     v = (
         wanted.withColumn("_hit", F.get(hit, F.lit(0)))
         .where("_hit IS NOT NULL")
-        .groupBy(*keys, "_total", F.col("_hit._b").alias("_b"), F.col("_hit._before").alias("_before"), "_v")
+        .groupBy(
+            *keys, "_total", F.col("_hit._b").alias("_b"), F.col("_hit._before").alias("_before"),
+            (F.col("_hit._bn") > crowded).alias("_crowded"), "_v",
+        )
         .agg(F.sum("_n").alias("_n"))
     )
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    picked = v.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    place = [*keys, "_b"]
+    parts = in_parts(v, place)
+    earlier = Window.partitionBy(*place).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        parts.groupBy(*place, "_part").agg(F.sum("_n").alias("_pn"))
+        .select(*place, "_part", F.coalesce(F.sum("_pn").over(earlier), F.lit(0)).alias("_skip"))
+    )
+    inner = Window.partitionBy(*place, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    picked = parts.withColumn("_upto", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(starts, [*place, "_part"])
+    picked = picked.withColumn("_start", F.col("_before") + F.col("_skip") + F.col("_upto"))
 
     def at(rank: Column) -> Column:
         here = (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
