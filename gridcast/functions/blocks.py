@@ -17,6 +17,8 @@ A block holds at most ``BLOCK_STEPS`` grid rows however long the series is.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -29,8 +31,6 @@ LOAD = "load"
 BLK = "_blk"
 BLOCK_STEPS = 1024
 SALTS = 32
-# Parts in which the values of a crowded bucket are ordered.
-PARTS = 256
 
 
 def present(*columns: str) -> Column:
@@ -251,90 +251,26 @@ def per_salt(small: DataFrame, salts: int = SALTS) -> DataFrame:
     return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def in_parts(values: DataFrame, place: Sequence[str]) -> DataFrame:
-    """``_part`` of each distinct ``_v``: ascending parts of about equal size where ``_crowded``, else one."""
-    edges = values.where("_crowded").groupBy(*place).agg(
-        F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)], 16 * PARTS).alias("_edges")
-    )
-    below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    return attach(values, edges, place, "left").withColumn("_part", F.when(F.col("_edges").isNull(), 0).otherwise(below)).drop("_edges")
-
-
 def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    weight: str | None = None,
-    buckets: int = 4096,
-    crowded: int = 65536,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10000
 ) -> DataFrame:
     """Linear-interpolated percentiles per key without gathering a key's values.
 
-    Range and count per key give the edges of a histogram of bounded size; the
-    histogram, combined before its shuffle, tells which buckets hold the wanted
-    ranks; only the values of those buckets are counted and ordered. Rows meet
-    the per-key facts in salted joins, so where these are small nothing but
-    histograms is shuffled.
-
-    Buckets have equal width, so a far outlier leaves most rows in one bucket. A
-    bucket of more than ``crowded`` rows is ordered in parts: approximate
-    quantiles of its distinct values are the edges of parts of about equal size,
-    and counts per part carry the ranks from one to the next. Edges only deal the
-    values out, so the result stays exact.
+    A sketch per key, combined before its shuffle, brackets each wanted rank
+    between two values; see :func:`around`. Only the values inside a bracket are
+    ordered: about ``6 / accuracy`` of a key's rows for each level, whatever
+    their distribution. The sketch only places the brackets: ranks are counted
+    exactly, and a rank that no bracket holds fails the job.
     """
-    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    rows = with_salt(df.where(present(value, *keys))).select(
-        *keys, F.col(value).cast("double").alias("_v"), n.alias("_n"), "_salt"
-    )
-    span = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    # small groups get few buckets, so the histogram stays well below the rows
-    n_buckets = F.greatest(F.lit(1), F.least(F.lit(buckets), F.floor(F.col("_total") / 32)))
-    width = (F.col("_hi") - F.col("_lo")) / n_buckets
-    bucket = F.when(width > 0, F.least(n_buckets - 1, F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0).cast("int")
-    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = []
-    for p in probs.values():
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        ranks += [F.floor(pos), F.ceil(pos)]
-    hist = (
-        rows.join(per_salt(span), [*keys, "_salt"])
-        .groupBy(*keys, bucket.alias("_b"))
-        .agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_bn").over(order), F.lit(0)))
-        .where(
-            F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))
-        )
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("_b", "_before", "_bn")).alias("_sel"))  # at most two buckets per level
-    )
-    wanted = rows.join(per_salt(span.join(hist, [*keys])), [*keys, "_salt"]).withColumn("_b", bucket)
-    hit = F.filter("_sel", lambda s: s["_b"] == F.col("_b"))
-    v = (
-        wanted.withColumn("_hit", F.get(hit, F.lit(0)))
-        .where("_hit IS NOT NULL")
-        .groupBy(
-            *keys, "_total", F.col("_hit._b").alias("_b"), F.col("_hit._before").alias("_before"),
-            (F.col("_hit._bn") > crowded).alias("_crowded"), "_v",
-        )
-        .agg(F.sum("_n").alias("_n"))
-    )
-    place = [*keys, "_b"]
-    parts = in_parts(v, place)
-    earlier = Window.partitionBy(*place).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        parts.groupBy(*place, "_part").agg(F.sum("_n").alias("_pn"))
-        .select(*place, "_part", F.coalesce(F.sum("_pn").over(earlier), F.lit(0)).alias("_skip"))
-    )
-    inner = Window.partitionBy(*place, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    picked = parts.withColumn("_upto", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(starts, [*place, "_part"])
-    picked = picked.withColumn("_start", F.col("_before") + F.col("_skip") + F.col("_upto"))
+    picked = around(df, keys, value, list(probs.values()), accuracy)
+    order = Window.partitionBy(*keys).orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
+    picked = picked.withColumn("_start", F.coalesce(F.sum("_n").over(order), F.lit(0)))
 
     def at(rank: Column) -> Column:
-        here = (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
-        return F.max(F.when(here, F.col("_v")))
+        last = F.col("_start") + F.col("_n") - 1
+        here = (rank >= F.col("_start")) & (rank <= last)
+        found = F.when(rank == F.col("_start"), F.col("_least")).when((rank == last) | (F.col("_least") == F.col("_most")), F.col("_most"))
+        return F.max(F.when(here, F.coalesce(found, F.raise_error(F.lit("rank outside its bracket")).cast("double"))))
 
     outs, finals = [], []
     for i, (name, p) in enumerate(probs.items()):
@@ -343,3 +279,21 @@ def exact_percentiles(
         frac = pos - F.floor(pos)
         finals.append((F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * frac).alias(name))
     return picked.groupBy(*keys).agg(F.max("_total").alias("_total"), *outs).select(*keys, *finals)
+
+
+def around(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], accuracy: int) -> DataFrame:
+    """``keys, _total, _least, _most, _n``: each distinct value near a level, and one row for each gap between brackets.
+
+    A bracket reaches three errors of the sketch to either side of its level. Ranks
+    next to a bracket are the ends of the gap beside it.
+    """
+    rows = df.where(present(value, *keys)).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = [min(1.0, max(0.0, p + side * 3 / accuracy)) for p in levels for side in (-1, 1)]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", ends, accuracy).alias("_ends"), F.count(F.lit(1)).alias("_total"))
+    v = F.col("_v")
+    inside = reduce(or_, [v.between(F.get("_ends", F.lit(2 * i)), F.get("_ends", F.lit(2 * i + 1))) for i in range(len(levels))])
+    gap = sum(F.when(F.get("_ends", F.lit(i)) < v, 1).otherwise(0) for i in range(len(ends)))
+    near = attach(rows, sketch, keys)
+    return near.groupBy(*keys, "_total", F.when(inside, v).alias("_in"), F.when(~inside, gap).alias("_gap")).agg(
+        F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.count(F.lit(1)).alias("_n")
+    )
