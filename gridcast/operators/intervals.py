@@ -53,8 +53,19 @@ def add_bands(forecasts: DataFrame, quantiles: DataFrame, levels: Iterable[float
 
 
 def attach_quantiles(predictions: DataFrame, bands: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Band columns onto prediction rows by time; unmatched rows stay."""
-    return predictions.join(bands.select(SERIES, TS, *columns), [SERIES, TS], "left")
+    """Band columns onto prediction rows by time; unmatched rows stay.
+
+    Windows may overlap: of several bands for one time the newest ``origin_ts`` holds. Bands without
+    ``origin_ts`` must be unique by series and time; repeated ones fail the job instead of multiplying rows.
+    """
+    values = F.struct(*columns)
+    if "origin_ts" in bands.columns:
+        one = F.max_by(values, "origin_ts")
+    else:
+        repeated = F.raise_error(F.lit("several bands for one series and time")).cast("boolean")
+        one = F.when(F.when(F.count(F.lit(1)) > 1, repeated).otherwise(True), F.any_value(values))
+    single = bands.groupBy(SERIES, TS).agg(one.alias("_band")).select(SERIES, TS, *[F.col(f"_band.{c}").alias(c) for c in columns])
+    return predictions.join(single, [SERIES, TS], "left")
 
 
 def attach_window_bands(steps: DataFrame, bands: DataFrame, columns: Sequence[str]) -> DataFrame:

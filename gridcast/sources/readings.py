@@ -109,8 +109,7 @@ def resample(
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = (SERIES,), mode: str = "overwrite") -> None:
     """Write result rows in one directory per key.
 
-    Rows are hashed by the key plus a salt, so one large series becomes several
-    files written by several tasks.
+    Rows are hashed by the key; a partition above the session's advisory size is split, so
+    one large series becomes several files written by several tasks and a small one a single file.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    df.repartition(*by, salt).write.mode(mode).partitionBy(*by).format(fmt).option("header", True).save(path)
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).format(fmt).option("header", True).save(path)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.operators import checks, covariates, features, outliers, profile, reports, roles, splits, timefilter
+from gridcast.operators import checks, covariates, features, intervals, outliers, profile, reports, roles, splits, timefilter
 from gridcast.sources import catalog, readings, registry, weather
 from tests.helpers import frame, holed_series, pandas_of
 
@@ -234,12 +234,26 @@ def test_registry_round_trip(spark, tmp_path):
     assert [x["model_id"] for x in r.list().collect()] == ["m3", "m1"]
 
 
-def test_sink_splits_a_large_series(spark, tmp_path):
-    df = spark.range(4000).select(F.lit("a").alias("series_id"), F.col("id").cast("double").alias("load"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny files would be merged
+def test_sink_splits_a_large_series_only(spark, tmp_path):
+    large = spark.range(4000).select(F.lit("a").alias("series_id"), F.col("id").cast("double").alias("load"))
+    small = spark.range(160).select(F.concat(F.lit("s"), F.col("id") % 20).alias("series_id"), F.col("id").cast("double").alias("load"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
     try:
-        readings.write_results(df, str(tmp_path / "out"))
+        readings.write_results(large.union(small), str(tmp_path / "out"))
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000
-    assert len([f for f in os.listdir(tmp_path / "out" / "series_id=a") if f.endswith(".parquet")]) > 1
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {d: sum(f.endswith(".parquet") for f in os.listdir(tmp_path / "out" / d)) for d in os.listdir(tmp_path / "out") if "=" in d}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4160
+    assert files.pop("series_id=a") > 1 and len(files) == 20
+    assert set(files.values()) == {1}
+
+
+def test_bands_of_overlapping_windows(spark):
+    at = lambda h: datetime(2024, 1, 1, h)
+    p = spark.createDataFrame([("a", at(5), 1.0), ("a", at(6), 2.0)], "series_id string, ts timestamp_ntz, yhat double")
+    b = spark.createDataFrame([("a", at(1), at(5), 0.1), ("a", at(2), at(5), None)], "series_id string, origin_ts timestamp_ntz, ts timestamp_ntz, lo double")
+    got = intervals.attach_quantiles(p, b, ["lo"]).orderBy("ts").collect()
+    assert [(r["yhat"], r["lo"]) for r in got] == [(1.0, None), (2.0, None)]
+    assert intervals.attach_quantiles(p, b.where("lo > 0").drop("origin_ts"), ["lo"]).orderBy("ts").first()["lo"] == 0.1
+    with pytest.raises(Exception, match="several bands"):
+        intervals.attach_quantiles(p, b.drop("origin_ts"), ["lo"]).collect()
