@@ -224,10 +224,12 @@ def test_rolling_baselines(spark, tiny_blocks, stride, horizon, k):
     assert np.allclose(moving["yhat"], expect)
 
 
-@pytest.mark.parametrize("p,d", [(1, 0), (2, 1), (3, 2)])
-def test_autoregression(spark, tiny_blocks, p, d):
+@pytest.mark.parametrize("p,d,marked", [(1, 0, True), (2, 1, True), (3, 2, True), (1, 0, False), (2, 1, False)])
+def test_autoregression(spark, tiny_blocks, p, d, marked):
+    """Fitted on the rows that ``train`` marks (here all), by default on those before the first origin."""
     df, pdf = clean(spark, 90)
-    got = pandas_of(baselines.autoregression(df, HOUR, 5, p, d, lookback=10), "series_id", "origin_ts", "h")
+    train = F.lit(True) if marked else None
+    got = pandas_of(baselines.autoregression(df, HOUR, 5, p, d, lookback=10, train=train), "series_id", "origin_ts", "h")
     expect = []
     for _, part in pdf.groupby("series_id"):
         v = part["load"].to_numpy()
@@ -235,10 +237,11 @@ def test_autoregression(spark, tiny_blocks, p, d):
         for _i in range(d):
             z.append(np.concatenate([[np.nan], np.diff(z[-1])]))
         y = z[d]
-        rows = [i for i in range(len(y)) if i - p >= d and not np.isnan(y[i])]
+        first = max(10, int(0.2 * len(v)))
+        rows = [i for i in range(len(y) if marked else first) if i - p >= d and not np.isnan(y[i])]
         x = np.array([[1, *[y[i - j] for j in range(1, p + 1)]] for i in rows])
         w = np.linalg.lstsq(x, y[rows], rcond=None)[0]
-        for i in range(max(10, int(0.2 * len(v))), len(v) - 5 + 1, 5):
+        for i in range(first, len(v) - 5 + 1, 5):
             hist, levels = [y[i - j] for j in range(1, p + 1)], [z[k][i - 1] for k in range(d)]
             for _h in range(5):
                 nxt = w[0] + np.dot(w[1:], hist)
