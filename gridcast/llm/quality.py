@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.llm.common import text_of
-from gridcast.llm.toxicity import training_rows
 from gridcast.session import settle
 
 # N-grams are of four UTF-16 units of lower-case text, 16 bits each in one long; a text begins after three start marks.
@@ -134,7 +133,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"block bigint, ids array<{kind}>, body binary")
+    return settle(docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"block bigint, ids array<{kind}>, body binary"))
 
 
 def _texts(body: bytes) -> Iterator[str]:
@@ -145,9 +144,30 @@ def _texts(body: bytes) -> Iterator[str]:
         at += 8 + n
 
 
-def perplexities(docs: DataFrame, model) -> DataFrame:
+def _texts_of(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``text`` of all rows in the blocks whose id ``rows(doc_id)`` has; texts move in their blocks' compressed form at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, places in zip(batch.column("body"), batch.column("places"), strict=True):
+                wanted, held, size = set(places.as_py()), [], 0
+                for at, text in enumerate(_texts(body.as_py())):
+                    if at in wanted:
+                        held.append(text)
+                        size += len(text)
+                    if size > _CUT:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["text"])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["text"])
+
+    ids = blocks.select(F.col("block").alias("_b"), F.posexplode("ids").alias("place", "doc_id"))
+    places = ids.join(rows, "doc_id").groupBy("_b").agg(F.collect_list("place").alias("places"))
+    return blocks.join(places, F.col("block") == F.col("_b")).select("body", "places").mapInArrow(run, "text string")
+
+
+def perplexities(docs: DataFrame, model, blocks: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_units, perplexity``. The different n-grams of each block of documents are joined to the model's shards and come back to the block."""
-    blocks = settle(_blocks(docs))
+    blocks = _blocks(docs) if blocks is None else blocks
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +209,7 @@ def perplexities(docs: DataFrame, model) -> DataFrame:
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_units, perplexity, threshold, kept`` of every row of ``docs(doc_id, text, lang, ...)``.
 
-    The model counts the texts that ``labels(doc_id, quality)`` trusts (quality 1; at most about the documented number of labelled rows).
+    The model counts the texts that ``labels(doc_id, quality)`` trusts (quality 1), all of them: no cap, none held out.
     A document is kept if its perplexity is at most 1.1 times the 0.99 quantile of the trusted documents of its language, or, where the language has
     none, of all its documents.
 
@@ -197,9 +217,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     threshold of the smallest of their languages; a null doc_id is scored and judged by the null language. Without trusted text every unit is
     equally likely. An empty table gives an empty result; other columns are ignored.
     """
-    rows = settle(training_rows(labels, "quality").where("label = 1").select("doc_id"))
-    trusted = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # bounded by training_rows
-    scored = settle(perplexities(docs, kneser_ney(gram_counts(trusted))))
+    rows = settle(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    blocks = _blocks(docs)
+    scored = settle(perplexities(docs, kneser_ney(gram_counts(_texts_of(blocks, rows))), blocks))
     langs = docs.groupBy(F.col("doc_id").alias("_d")).agg(F.min("lang").alias("lang")).where("_d is not null")
     with_lang = settle(scored.join(langs, F.col("doc_id") == F.col("_d"), "left").join(rows.select(F.col("doc_id").alias("_r")), F.col("doc_id") == F.col("_r"), "left").select(
         "doc_id", "n_units", "perplexity", "lang", F.col("_r").isNotNull().alias("_trusted")

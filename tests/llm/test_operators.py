@@ -411,6 +411,18 @@ def test_quality_keeps_trusted_and_drops_junk(spark):
     assert sum(trusted) / len(trusted) >= 0.97
 
 
+def test_quality_learns_from_every_trusted_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity.training_rows, "__defaults__", ("toxic", 2))  # a cap on labelled rows is no matter of op8's
+    texts = ["the cat sat on the mat", "a cat and a dog", "dogs eat the mat", "mats and hats", "", "the hat", "zzz qqq", None] * 3
+    docs = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(3, "a repeated id", "en", "a"), (None, "cats", "en", "a")]
+    labels = [(i, 0 if i % 8 == 6 else 1, None) for i in range(len(texts))] + [(6, 1, None), (0, 0, None), (None, 1, None)]
+    assert any(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(len(texts)) if i % 8 != 6)
+    trusted = [t or "" for i, t, *_ in docs if i is not None and (i % 8 != 6 or i == 6)]
+    ppl = brute_kneser_ney(trusted)
+    got = quality.judge_quality(frame(spark, docs), labels_of(spark, labels)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.perplexity, 3)) for r in got) == sorted((i is None, i or 0, round(ppl(t or ""), 3)) for i, t, *_ in docs)
+
+
 def test_embeddings_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = []
