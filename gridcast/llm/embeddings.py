@@ -16,6 +16,15 @@ from gridcast.llm.common import components
 from gridcast.session import settle
 
 LIKE, PASSES, WINDOW, BITS, SEED = 0.95, 8, 512, 63, 20
+# Share of the pairs just at the threshold that some pass is expected to compare, whatever the size of the table.
+RECALL = 0.99
+
+
+def passes_for(total: int, window: int, like: float) -> int:
+    """At least PASSES; as many as RECALL needs where a pair meets by agreeing in the leading signs that tell windows apart."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, like))) / math.pi
+    meet = agree ** math.log2(max(total / window, 1))
+    return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-meet)))
 
 
 def _coded(vectors: DataFrame, passes: int) -> DataFrame:
@@ -113,13 +122,13 @@ def _compare(like: float):
     return run
 
 
-def near_vectors(table: DataFrame, like: float = LIKE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(table: DataFrame, like: float = LIKE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``table(vec_id, embedding, ...)``.
 
     Equal vectors are one node with a count. In each pass the nodes are ordered by the signs of random projections and each is compared,
     by cosine in double precision, with one to two windows of neighbours, and with all that share the order's leading
     bits. Blocks return counts of links and one edge per linked node, so the links of a large group are never written out.
-    Links are those found: each pair at or above ``like`` that some pass compares, counted once.
+    The passes grow with the table (``passes_for``) unless their number is given. Links are those found: each pair at or above ``like`` that some pass compares, counted once.
 
     A vector that is null, empty, zero or holds null or non-finite components links with nothing, and neither does a row without
     vec_id; each is its own component (null without vec_id, and then not kept). Vectors of different lengths are not compared. Rows that
@@ -130,10 +139,11 @@ def near_vectors(table: DataFrame, like: float = LIKE, passes: int = PASSES, win
     fit = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = table.select("vec_id", v.alias("v"), F.coalesce(fit, F.lit(False)).alias("fit"))
     distinct = rows.where("fit").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    nodes = settle(_coded(distinct.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), passes))
+    nodes = settle(distinct.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
+    coded = settle(_coded(nodes.select("node", "dim", "v"), passes or passes_for(total, window, like)).select("node", "dim", "codes"))
     near_bits = min(BITS, max(1, math.ceil(math.log2(max(total / window, 1)))) + 3)
-    placed, reach = _chunked(nodes, window, near_bits)
+    placed, reach = _chunked(coded, window, near_bits)
     lists = placed.join(reach, ["pass", "chunk"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "chunk", "reach"))).alias("_l"))
     ready = nodes.select("node", "v", "n", "dim").join(lists, "node").select(
         "node", "v", "n", "dim", F.col("_l.chunk").alias("chunks"), F.col("_l.reach").alias("reaches"), F.posexplode("_l").alias("_p", "_at")

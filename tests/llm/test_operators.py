@@ -446,6 +446,19 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
 
 
+def test_embedding_passes_grow_with_the_table(spark, monkeypatch):
+    assert embeddings.passes_for(2000, 512, 0.95) == embeddings.PASSES == embeddings.passes_for(0, 512, 0.95)
+    agree = 1 - math.acos(0.95) / math.pi
+    for total in (10**6, 10**7, 10**8):
+        passes, meet = embeddings.passes_for(total, 512, 0.95), agree ** math.log2(total / 512)
+        assert 1 - (1 - meet) ** passes >= 0.99 and 1 - (1 - meet) ** embeddings.PASSES < 0.97
+    used, coded = [], embeddings._coded
+    monkeypatch.setattr(embeddings, "_coded", lambda nodes, passes: used.append(passes) or coded(nodes, passes))
+    x = np.random.default_rng(4).standard_normal((1200, 16))
+    embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), window=2).count()
+    assert used == [embeddings.passes_for(1200, 2, 0.95)] and used[0] > embeddings.PASSES
+
+
 def test_empty_tables(spark):
     docs, none = empty(spark), labels_of(spark)
     for out in (
