@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
@@ -107,7 +109,8 @@ def predict_linear(origins_x: DataFrame, coef: DataFrame, step_seconds: int, hor
     )
 
 
-# Rounds and depth of the tree default.
+# Models fitted at a time; rounds and depth of the tree default.
+FITS_AT_ONCE = 8
 TREE_DEFAULTS = {"maxIter": 40, "maxDepth": 6}
 TREE_PARAMS = {
     "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
@@ -128,13 +131,16 @@ def tree_estimator(params: dict | None = None, seed: int = 42, **extra) -> GBTRe
 
 
 def fit_trees(rows: DataFrame, steps: Sequence[int], params: dict | None = None, seed: int = 42) -> dict:
-    """One boosted model per step ahead, over the rows of all series."""
+    """One boosted model per step ahead, over the rows of all series; several are fitted at a time."""
     d = rows.select(array_to_vector("x").alias("features"), "y")
     d = d.persist()
+
+    def fit(h: int):
+        return h, tree_estimator(params, seed).fit(d.select("features", F.col("y")[h - 1].alias("label")))
+
     try:
-        return {
-            h: tree_estimator(params, seed).fit(d.select("features", F.col("y")[h - 1].alias("label"))) for h in steps
-        }
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            return dict(pool.map(inheritable_thread_target(fit), steps, chunksize=1))
     finally:
         d.unpersist()
 

@@ -98,7 +98,7 @@ def g6(spark, sf):
 def g7(spark, sf):
     g = origins.mark_origins(grid_of(spark, sf), HOUR, 24, 24)
     rows = origins.supervised(g, HOUR, 24, 24, keep_open=True)
-    models = learners.fit_trees(rows.where("fit_ok"), [1, 24], {"n_estimators": 3, "max_depth": 4})
+    models = learners.fit_trees(rows.where("fit_ok"), range(1, 25))
     return learners.predict_trees(models, rows.where("is_origin"), HOUR)
 
 

@@ -153,6 +153,22 @@ def test_trees_fit_and_record_a_curve(spark):
     assert len(curve) == 8 and (curve.groupby("model_id")["train"].last() <= curve.groupby("model_id")["train"].first()).all()
 
 
+def test_tree_query_forecasts_every_step_with_the_defaults(spark, monkeypatch):
+    from gridcast.plans import QUERIES
+
+    asked, fit = {}, learners.fit_trees
+
+    def spied(rows, steps, params=None, seed=42):
+        asked.update(steps=list(steps), params=params)
+        return fit(rows, steps, {"n_estimators": 1, "max_depth": 1}, seed)  # the full fit takes minutes
+
+    monkeypatch.setattr(learners, "fit_trees", spied)
+    f = pandas_of(QUERIES["g7_boosted_trees"](spark, "/root/testdata/sf0.001"), "series_id", "origin_ts", "h")
+    assert asked == {"steps": list(range(1, 25)), "params": None} and learners.TREE_DEFAULTS == {"maxIter": 40, "maxDepth": 6}
+    assert len(f) and (f.groupby(["series_id", "origin_ts"])["h"].apply(list).map(lambda h: h == list(range(1, 25)))).all()
+    assert f["yhat"].notna().all()
+
+
 def test_bands_cover_about_their_nominal_share(spark):
     df = frame(spark, stride_series(1500))
     out = fleet.backtest(df, HOUR, "NaiveSeasonal", 24, 24, stride=6, levels=[0.1, 0.9])
