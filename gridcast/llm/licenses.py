@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ KNOWN = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("proprietary", "All rights reserved."),
 )
+# Whole licence texts, with and without their usual headings.
+KNOWN += tuple(map(tuple, json.loads((Path(__file__).parent / "license_texts.json").read_text())))
 _NOTICE = r"^[^\n]*?(copyright[\x20\x09]+(\(c\)|©|[0-9])|\(c\)[\x20\x09]+[0-9]|©)[^\n]*$"
 _SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

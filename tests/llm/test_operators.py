@@ -368,6 +368,15 @@ def test_license_forms(spark):
     assert all(got[r[0]].license is None and got[r[0]].line_licenses == [] for r in BASE)
 
 
+def test_whole_license_files(spark):
+    mit = "MIT License\n\nCopyright (c) 2021 A. Person\n\n" + re.sub("(.{60}[^ ]*) ", r"\1\n", licenses.KNOWN[2][1])
+    whole = {n: max((t for m, t in licenses.KNOWN if m == n), key=len) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0")}
+    files = {"MIT": mit, **{n: re.sub(r"[ ]+", "  ", t).upper() for n, t in whole.items()}}
+    files["Apache-2.0"] = whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 A. Person")
+    got = {r.doc_id: r.license for r in licenses.find_licenses(frame(spark, [(i, t, "en", "a") for i, t in enumerate(files.values())])).collect()}
+    assert [got[i] for i in range(len(files))] == list(files)
+
+
 def brute_kneser_ney(texts):
     counts = collections.Counter(g for t in texts for t in ["\x01\x01\x01" + t.lower()] for g in (t[i : i + 4] for i in range(len(t) - 3)))
     tables = {4: counts}
