@@ -184,6 +184,22 @@ def g14(spark, sf):
     return t.select("trial", F.to_json("params").alias("params"), "cv_rmse")
 
 
+def searched(spark, sf, model):
+    """The declared space of the model, the default number of trials."""
+    t = fleet.tune(hourly(spark, sf), HOUR, model, 24, 24)
+    return t.select("trial", F.to_json("params").alias("params"), "cv_rmse")
+
+
+@query("g14_arima_search")
+def g14_arima(spark, sf):
+    return searched(spark, sf, "ARIMA")
+
+
+@query("g14_tree_search")
+def g14_trees(spark, sf):
+    return searched(spark, sf, "GradientBoosting")
+
+
 FAIL = """n AS (SELECT series_id, count(*) AS c FROM hourly GROUP BY ALL)"""
 
 

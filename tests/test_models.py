@@ -169,6 +169,18 @@ def test_tree_query_forecasts_every_step_with_the_defaults(spark, monkeypatch):
     assert f["yhat"].notna().all()
 
 
+def test_search_queries_draw_the_declared_spaces(spark, monkeypatch):
+    from gridcast.plans import QUERIES
+
+    found = []
+    monkeypatch.setattr(fleet, "forecast", lambda *a, **b: found.append((a[2], b["params"])) or 1 / 0)  # the full search takes long; a failed trial stays
+    for name, model in (("g14_arima_search", "ARIMA"), ("g14_tree_search", "GradientBoosting")):
+        found.clear()
+        trials = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert [r.trial for r in trials] == list(range(20)) == list(range(len(found)))
+        assert all(m == model and set(p) == set(fleet.SEARCH_SPACES[model]) for m, p in found)
+
+
 def test_bands_cover_about_their_nominal_share(spark):
     df = frame(spark, stride_series(1500))
     out = fleet.backtest(df, HOUR, "NaiveSeasonal", 24, 24, stride=6, levels=[0.1, 0.9])
