@@ -13,7 +13,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 SAME = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
     "date": "DATE", "boolean": "BOOLEAN",
 }
 
