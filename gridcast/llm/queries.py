@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import embeddings, exact, langid, licenses, mixing, packing, quality, secretscan, simhash, toxicity
+from gridcast.llm import embeddings, exact, langid, licenses, mixing, packing, quality, search, secretscan, sharding, simhash, toxicity
 from gridcast.llm.common import read
 
 QUERIES = {}
@@ -86,3 +86,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(search.oracle())
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query(sharding.oracle())
+def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(read(spark, sf_dir, "documents"))
