@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import embeddings, exact, langid, licenses, mixing, packing, quality, search, secretscan, sharding, simhash, toxicity
+from gridcast.llm import embeddings, exact, langid, licenses, mixing, packing, quality, repair, search, secretscan, sharding, simhash, toxicity
 from gridcast.llm.common import read
 
 QUERIES = {}
@@ -96,3 +96,9 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sharding.oracle())
 def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read(spark, sf_dir, "documents"))
+
+
+@query(repair.oracle())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damage(conversations), conversations)
