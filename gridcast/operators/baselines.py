@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from gridcast.functions.blocks import (
 )
 from gridcast.functions.time import add_seconds, steps_per_day
 from gridcast.operators.grid import ensure_blocked
-from gridcast.operators.learners import fit_linear
+from gridcast.operators.learners import fit_linear, full_gram, solve_gram, sum_grams
 from gridcast.operators.origins import mark_origins, over_horizon
 
 FORECAST = (SERIES, "model", "origin_ts", "h", TS, "yhat")
@@ -151,22 +153,54 @@ def _differenced(grid: DataFrame, step_seconds: int, p: int, d: int) -> DataFram
     return z
 
 
-def fit_autoregression(
-    grid: DataFrame, step_seconds: int, p: int = 1, d: int = 1, exog: Sequence[str] = (), train: Column | None = None
-) -> DataFrame:
-    """Coefficients ``(series_id, h, w)`` of AR(p) on d-th differences: least squares per series over the
-    rows that ``train`` marks (default: all). ``w`` holds the intercept, the lags, then the covariates."""
+def lag_rows(grid: DataFrame, step_seconds: int, p: int, d: int, exog: Sequence[str] = (), train: Column | None = None) -> DataFrame:
+    """``(series_id, x, y)``: the d-th difference against its last ``p`` values, nearest first, and the covariates, for rows that ``train`` marks."""
     z, name = _differenced(grid, step_seconds, p, d), f"_z{d}"
     w = Window.partitionBy(SERIES, BLK).orderBy(TS)
     base = z.select(SERIES, TS, name, *exog, (F.lit(True) if train is None else train).alias("_train"))
     h = haloed(base, block_seconds(step_seconds, p), before=p * step_seconds)
     lags = F.reverse(F.collect_list(name).over(w.rowsBetween(-p, -1)))
-    fit_rows = (
+    return (
         h.withColumn("_l", lags)
         .where(F.col("_own") & F.col("_train") & (F.size("_l") == p) & F.col(name).isNotNull())
         .select(SERIES, F.concat("_l", F.array(*[F.col(c).cast("double") for c in exog])).alias("x") if exog else F.col("_l").alias("x"), F.array(name).alias("y"))
     )
-    return fit_linear(fit_rows, [SERIES])
+
+
+def fit_autoregression(
+    grid: DataFrame, step_seconds: int, p: int = 1, d: int = 1, exog: Sequence[str] = (), train: Column | None = None
+) -> DataFrame:
+    """Coefficients ``(series_id, h, w)`` of AR(p) on d-th differences: least squares per series over the
+    rows that ``train`` marks (default: all). ``w`` holds the intercept, the lags, then the covariates."""
+    return fit_linear(lag_rows(grid, step_seconds, p, d, exog, train), [SERIES])
+
+
+def _orders(ps: list[int]):
+    """Coefficients of each order from the cross products of the largest."""
+    def each(flat) -> list[dict]:
+        full = full_gram(flat)
+        return [{"p": p, "w": solve_gram(full, np.arange(p + 1), np.array([len(full) - 1]))[0].tolist()} for p in ps]
+
+    @F.pandas_udf("array<struct<p:int,w:array<double>>>")
+    def solve(g: pd.Series) -> pd.Series:
+        return pd.Series([each(flat) for flat in g])
+
+    return solve
+
+
+def fit_autoregressions(grid: DataFrame, step_seconds: int, orders: Sequence[tuple[int, int]], train: Column | None = None) -> DataFrame:
+    """Coefficients ``(series_id, p, d, h, w)`` of every order ``(p, d)`` from one pass over the rows for each ``d``.
+
+    The cross products of the largest ``p`` hold those of every smaller one, so an order is solved from a part of one matrix
+    per series. All orders of one ``d`` are fitted on the same rows, those with as many lags as the largest needs.
+    """
+    found = None
+    for d in sorted({d for _, d in orders}):
+        ps = sorted({p for p, q in orders if q == d})
+        grams = sum_grams(lag_rows(grid, step_seconds, ps[-1], d, train=train), [SERIES])
+        part = grams.select(SERIES, F.explode(_orders(ps)("g")).alias("s")).select(SERIES, "s.p", F.lit(d).alias("d"), F.lit(1).alias("h"), "s.w")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def autoregression(

@@ -17,9 +17,10 @@ from gridcast.functions.time import STEP_SECONDS, add_seconds, calendar, epoch,
 from gridcast.operators import baselines, intervals, metrics
 from gridcast.operators.checks import SPARE_ROWS
 from gridcast.operators.grid import fill_all, regular_grid
-from gridcast.operators.learners import fit_linear, fit_trees, predict_linear, predict_trees
+from gridcast.operators.learners import fit_linear, predict_linear
 from gridcast.operators.origins import mark_origins, over_horizon, supervised
 from gridcast.operators.splits import seasonal_split, sequential_split
+from gridcast.operators.trees import fit_boosted, predict_boosted, settings
 from gridcast.session import settle
 from gridcast.sources.registry import model_id
 
@@ -95,33 +96,32 @@ def _windows(
     return supervised(marked.drop("rel"), step_seconds, lookback, horizon, static=static, keep_open=True)
 
 
-def _fit_rows(rows: DataFrame, model: str, horizon: int, params: dict) -> DataFrame | dict:
+def _fit_rows(rows: DataFrame, model: str, horizon: int, params: dict) -> DataFrame:
     if model == "LinearRegression":
         return fit_linear(rows.where("fit_ok").select(SERIES, "x", "y"), [SERIES], ridge=params.get("ridge", 0.0))
-    return fit_trees(rows.where("fit_ok"), range(1, horizon + 1), params)
+    return fit_boosted(rows.where("fit_ok"), horizon, [params])
 
 
 def fit(
     grid: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
     train: Column | None = None, params: dict | None = None, calendar_static: bool = True,
-) -> DataFrame | dict | None:
+) -> DataFrame | None:
     """What a model learns from the rows that ``train`` marks (default: all rows of ``grid``).
 
-    A settled table of coefficients ``(series_id, h, w)``, the trees of each step, or None for a model without a
-    fit. Coefficients are a plain table: write it, read it, and give it to :func:`forecast` as ``fitted``.
+    A settled table of coefficients ``(series_id, h, w)`` or of trees (:func:`gridcast.operators.trees.fit_boosted`), or None for a
+    model without a fit. Both are plain tables: write it, read it, and give it to :func:`forecast` as ``fitted``.
     """
     params, train = dict(params or {}), F.lit(True) if train is None else train
     if model not in FITTED_MODELS:
         return None
     if model == "ARIMA":
         return settle(baselines.fit_autoregression(grid, step_seconds, params.get("p", 1), params.get("d", 1), train=train))
-    fitted = _fit_rows(_windows(grid, step_seconds, lookback, horizon, train, calendar_static), model, horizon, params)
-    return settle(fitted) if isinstance(fitted, DataFrame) else fitted
+    return settle(_fit_rows(_windows(grid, step_seconds, lookback, horizon, train, calendar_static), model, horizon, params))
 
 
 def forecast(
     grid: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
-    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, fitted: DataFrame | dict | None = None, **kwargs,
+    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, fitted: DataFrame | None = None, **kwargs,
 ) -> DataFrame:
     """Forecast rows of every rolling origin for one kind of model.
 
@@ -149,7 +149,7 @@ def forecast(
     origins = rows.where("is_origin")
     if model == "LinearRegression":
         return predict_linear(origins, fitted, step_seconds, horizon)
-    return predict_trees(fitted, origins, step_seconds)
+    return predict_boosted(fitted.where(F.col("h") <= horizon), origins, step_seconds)
 
 
 def backtest(
@@ -290,7 +290,7 @@ def forward_origins(readings: DataFrame, step_seconds: int) -> DataFrame:
 
 def forward_forecast(
     readings: DataFrame, step_seconds: int, horizon: int, model: str = "NaiveSeasonal",
-    lookback: int = 24, trained_horizon: int | None = None, params: dict | None = None, fitted: DataFrame | dict | None = None,
+    lookback: int = 24, trained_horizon: int | None = None, params: dict | None = None, fitted: DataFrame | None = None,
 ) -> DataFrame:
     """Forecast past the last known load of every series.
 
@@ -336,20 +336,25 @@ def missing_future(readings: DataFrame, step_seconds: int, horizon: int, future:
 # -- search -----------------------------------------------------------------------------------
 
 
-def sample_params(rng: random.Random, space: dict[str, dict]) -> dict:
-    """One draw from a typed space: int, float, log float, categorical."""
-    out = {}
-    for name, spec in space.items():
-        kind = spec.get("type", "float")
-        if kind == "categorical":
-            out[name] = rng.choice(list(spec["choices"]))
-        elif kind == "int":
-            out[name] = rng.randint(spec["low"], spec["high"])
-        elif spec.get("log"):
-            out[name] = math.exp(rng.uniform(math.log(spec["low"]), math.log(spec["high"])))
-        else:
-            out[name] = rng.uniform(spec["low"], spec["high"])
-    return out
+# How a value of each kind is drawn from its specification.
+DRAWS: dict[str, Callable[[random.Random, dict], object]] = {
+    "categorical": lambda rng, s: rng.choice(list(s["choices"])),
+    "int": lambda rng, s: rng.randint(s["low"], s["high"]),
+    "float": lambda rng, s: rng.uniform(s["low"], s["high"]),
+    "log": lambda rng, s: math.exp(rng.uniform(math.log(s["low"]), math.log(s["high"]))),
+}
+
+
+def drawn(space: dict[str, dict], n_trials: int, seed: int) -> list[dict]:
+    """Seeded draws from a typed space: categorical, int, float, and float on a log scale (``log``)."""
+    rng = random.Random(seed)
+    kinds = {name: "log" if s.get("log") else s.get("type", "float") for name, s in space.items()}
+    return [{name: DRAWS[kinds[name]](rng, s) for name, s in space.items()} for _ in range(n_trials)]
+
+
+TRIALS = "trial int, params map<string,string>, cv_rmse double, duration_s double"
+# What a setting may be wrong by; anything else, a lost executor too, is no trial's fault and ends the search.
+FAULTS = (ValueError, ArithmeticError, KeyError, TypeError)
 
 
 def random_search(
@@ -357,48 +362,122 @@ def random_search(
 ) -> DataFrame:
     """Seeded random search; trials run as concurrent Spark jobs.
 
-    ``objective`` returns the validation CV-RMSE of one setting. A trial that
-    raises is kept with a NULL score. Returns the ``trials`` table.
+    ``objective`` returns the validation CV-RMSE of one setting. A trial whose setting is refused or cannot
+    be computed (``FAULTS``) is kept with a NULL score. Returns the ``trials`` table.
     """
-    rng = random.Random(seed)
-    draws = [sample_params(rng, space) for _ in range(n_trials)]
-
     def run(item):
         number, params = item
         began = time.monotonic()
         try:
             value = float(objective(params))
             value = value if math.isfinite(value) else None
-        except Exception:
+        except FAULTS:
             value = None
         return number, {k: str(v) for k, v in params.items()}, value, time.monotonic() - began
 
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(run, enumerate(draws)))
-    return spark.createDataFrame(rows, "trial int, params map<string,string>, cv_rmse double, duration_s double")
+        rows = list(pool.map(run, enumerate(drawn(space, n_trials, seed))))
+    return spark.createDataFrame(rows, TRIALS)
+
+
+def _accepted(model: str, params: dict) -> bool:
+    try:
+        if model == "GradientBoosting":
+            settings(params)
+        elif model == "ARIMA" and (int(params.get("p", 1)) < 1 or not 0 <= int(params.get("d", 1)) <= 2):
+            return False
+    except FAULTS:
+        return False
+    return True
+
+
+def _forecasts_by_trial(split: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int, draws: dict[int, dict]) -> DataFrame:
+    """Forecasts with a ``trial`` column of all settings. The trials share the passes over the rows.
+
+    Trees of all trials grow together and are applied in one scan; AR models of all orders are solved from one matrix per
+    series and difference, and orders drawn twice are forecast once.
+    """
+    train = F.col("role") == "training"
+    if model == "GradientBoosting":
+        rows = _windows(split, step_seconds, lookback, horizon, train, True, start_fraction=0.0)
+        numbers = list(draws)
+        trees = fit_boosted(rows.where("fit_ok"), horizon, [draws[t] for t in numbers])
+        found = predict_boosted(trees, rows.where("is_origin"), step_seconds, by_trial=True)
+        number = F.element_at(F.array(*[F.lit(t) for t in numbers]), F.col("trial") + 1)
+        return found.withColumn("trial", number)
+    orders: dict[tuple[int, int], list[int]] = {}
+    for t, p in draws.items():
+        orders.setdefault((int(p.get("p", 1)), int(p.get("d", 1))), []).append(t)
+    coef = settle(baselines.fit_autoregressions(split, step_seconds, list(orders), train))
+    found = None
+    for (p, d), numbers in orders.items():
+        own = coef.where((F.col("p") == p) & (F.col("d") == d)).select(SERIES, "h", "w")
+        f = baselines.autoregression(split, step_seconds, horizon, p, d, lookback=lookback, coef=own, start_fraction=0.0)
+        f = f.withColumn("trial", F.explode(F.array(*[F.lit(t) for t in numbers])))
+        found = f if found is None else found.unionByName(f)
+    return found
 
 
 def tune(
     readings: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
     space: dict | None = None, n_trials: int = 20, seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
-    """Search a model's space for the lowest validation CV-RMSE over all
-    series. The best setting is then fitted on training rows only."""
-    good, _ = split_failures(readings, lookback, horizon)
-    grid = prepare(good, step_seconds)
-    split = settle(sequential_split(grid, step_seconds).drop("idx", "n_rows"))
-    first = split.where("role = 'validation'").groupBy(SERIES).agg(F.min(TS).alias("_v0"))
+    """Search a model's space for the lowest validation CV-RMSE over all series: the ``trials``.
 
-    def objective(params: dict) -> float:
-        f = forecast(
-            split, step_seconds, model, lookback, horizon, train=F.col("role") == "training", params=params, start_fraction=0.0
-        )
+    Fits see training rows only. Trials of trees and AR models share their passes (``duration_s`` is then an equal
+    share); those of other models run as jobs of their own. :func:`refit` fits the best setting.
+    """
+    spark = readings.sparkSession
+    space = SEARCH_SPACES[model] if space is None else space
+    split, first = _search_split(readings, step_seconds, lookback, horizon)
+
+    def scores(f: DataFrame, keys: list[str]) -> DataFrame:
         scored = attach(metrics.score(f, split), first, [SERIES]).where(F.col("origin_ts") >= F.col("_v0"))
-        return metrics.point_metrics(scored, []).first()["cv_rmse"]
+        return metrics.point_metrics(scored, keys)
 
-    return random_search(
-        readings.sparkSession, objective, SEARCH_SPACES[model] if space is None else space, n_trials, seed, parallelism
-    )
+    if model not in ("GradientBoosting", "ARIMA"):
+        def objective(params: dict) -> float:
+            f = forecast(split, step_seconds, model, lookback, horizon, train=F.col("role") == "training", params=params, start_fraction=0.0)
+            return scores(f, []).first()["cv_rmse"]
+
+        return random_search(spark, objective, space, n_trials, seed, parallelism)
+    draws = dict(enumerate(drawn(space, n_trials, seed)))
+    began = time.monotonic()
+    good = {t: p for t, p in draws.items() if _accepted(model, p)}
+    value = {}
+    if good:
+        found = scores(_forecasts_by_trial(split, step_seconds, model, lookback, horizon, good), ["trial"])
+        value = {r["trial"]: r["cv_rmse"] for r in found.select("trial", "cv_rmse").collect()}  # a row per trial
+    share = (time.monotonic() - began) / max(len(draws), 1)
+    finite = {t: v for t, v in value.items() if v is not None and math.isfinite(v)}
+    return spark.createDataFrame([(t, {k: str(v) for k, v in p.items()}, finite.get(t), share) for t, p in draws.items()], TRIALS)
+
+
+def _search_split(readings: DataFrame, step_seconds: int, lookback: int, horizon: int) -> tuple[DataFrame, DataFrame]:
+    """The gridded series long enough to train, with ``role``, and when validation begins in each."""
+    good, _ = split_failures(readings, lookback, horizon)
+    split = settle(sequential_split(prepare(good, step_seconds), step_seconds).drop("idx", "n_rows"))
+    return split, split.where("role = 'validation'").groupBy(SERIES).agg(F.min(TS).alias("_v0"))
+
+
+def refit(readings: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int, trials: DataFrame) -> tuple[dict, DataFrame | None]:
+    """The best setting of ``trials``, typed as it was drawn, and its fit on the training rows alone.
+
+    Without a scored trial the defaults are fitted.
+    """
+    best = best_trial(trials).select("params").collect()
+    params = {k: _typed(v) for k, v in best[0]["params"].items()} if best else {}
+    split, _ = _search_split(readings, step_seconds, lookback, horizon)
+    return params, fit(split, step_seconds, model, lookback, horizon, F.col("role") == "training", params)
+
+
+def _typed(text: str) -> int | float | str:
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

@@ -1,15 +1,12 @@
-"""Fitted forecasters: linear, boosted trees, residual correction."""
+"""Fitted forecasters: linear, residual correction."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,39 +48,55 @@ def _partial_grams(keys: Sequence[str]):
     return run
 
 
-def fit_linear(rows: DataFrame, keys: Sequence[str], ridge: float = 0.0) -> DataFrame:
-    """Least squares of every target on the features, one model per key.
+def sum_grams(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, g, m``: the cross products of (1, x, y) over all rows of a key, as an upper triangle, and the number of targets.
 
-    ``rows`` hold arrays ``x`` and ``y``. Each task reduces its rows to one
-    cross-product matrix per key; the upper triangles are summed by Spark as
-    vectors, combined before the shuffle, and only a p x p system per key is
-    solved, so a series of any length is fitted by all tasks that hold part of it. Returns ``(keys, h, w)`` with the
-    intercept first in ``w``; collinear features get the minimum-norm solution.
-    ``ridge`` penalises the slopes, not the intercept.
+    ``rows`` hold arrays ``x`` and ``y``. Each task reduces its rows to one cross-product matrix per key; the upper triangles are summed
+    by Spark as vectors, combined before the shuffle, so a series of any length is summed by all tasks that hold part of it.
     """
     schema = rows.select(*keys).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     partial = rows.select(*keys, "x", "y").mapInPandas(_partial_grams(keys), f"{ddl}, g array<double>, m int")
-    grams = partial.groupBy(*keys).agg(Summarizer.sum(array_to_vector("g")).alias("_g"), F.max("m").alias("_m"))
+    summed = partial.groupBy(*keys).agg(Summarizer.sum(array_to_vector("g")).alias("_g"), F.max("m").alias("m"))
+    return summed.select(*keys, vector_to_array("_g").alias("g"), "m")
+
+
+def full_gram(flat: Sequence[float]) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    side = int(((8 * len(flat) + 1) ** 0.5 - 1) / 2 + 0.5)
+    full = np.zeros((side, side))
+    full[np.triu_indices(side)] = flat
+    return full + np.triu(full, 1).T
+
+
+def solve_gram(full: np.ndarray, used: np.ndarray, targets: np.ndarray, ridge: float = 0.0) -> np.ndarray:
+    """Least squares of the ``targets`` rows of a cross-product matrix on its ``used`` rows (the intercept first); a row per target.
+
+    Collinear features get the minimum-norm solution; ``ridge`` penalises the slopes, not the intercept.
+    """
+    a, b = full[np.ix_(used, used)], full[np.ix_(used, targets)]
+    if ridge:
+        a = a + np.diag([0.0] + [ridge] * (len(used) - 1))
+    scale = np.sqrt(np.clip(np.diag(a), 1e-300, None))
+    return (np.linalg.lstsq(a / np.outer(scale, scale), b / scale[:, None], rcond=1e-12)[0] / scale[:, None]).T
 
+
+def fit_linear(rows: DataFrame, keys: Sequence[str], ridge: float = 0.0) -> DataFrame:
+    """Least squares of every target on the features, one model per key: ``(keys, h, w)`` with the intercept first in ``w``.
+
+    Only a p x p system per key is solved from the sums of :func:`sum_grams`. Collinear features get the minimum-norm solution.
+    ``ridge`` penalises the slopes, not the intercept.
+    """
     @F.pandas_udf("array<array<double>>")
     def solve(g: pd.Series, m: pd.Series) -> pd.Series:
         out = []
         for flat, n in zip(g, m):
-            side = int(((8 * len(flat) + 1) ** 0.5 - 1) / 2 + 0.5)
-            full = np.zeros((side, side))
-            full[np.triu_indices(side)] = flat
-            full = full + np.triu(full, 1).T
-            p = side - int(n)
-            a, b = full[:p, :p].copy(), full[:p, p:]
-            if ridge:
-                a[np.arange(1, p), np.arange(1, p)] += ridge
-            scale = np.sqrt(np.clip(np.diag(a), 1e-300, None))
-            w = np.linalg.lstsq(a / np.outer(scale, scale), b / scale[:, None], rcond=1e-12)[0] / scale[:, None]
-            out.append(w.T.tolist())
+            full = full_gram(flat)
+            p = len(full) - int(n)
+            out.append(solve_gram(full, np.arange(p), np.arange(p, len(full)), ridge).tolist())
         return pd.Series(out)
 
-    solved = grams.select(*keys, solve(vector_to_array("_g"), F.col("_m")).alias("ws"))
+    solved = sum_grams(rows, keys).select(*keys, solve("g", "m").alias("ws"))
     return solved.select(*keys, F.posexplode("ws").alias("_i", "w")).select(
         *keys, (F.col("_i") + 1).alias("h"), "w"
     )
@@ -109,68 +122,6 @@ def predict_linear(origins_x: DataFrame, coef: DataFrame, step_seconds: int, hor
     )
 
 
-# Models fitted at a time; rounds and depth of the tree default.
-FITS_AT_ONCE = 8
-TREE_DEFAULTS = {"maxIter": 40, "maxDepth": 6}
-TREE_PARAMS = {
-    "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
-    "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-}
-
-
-def tree_estimator(params: dict | None = None, seed: int = 42, **extra) -> GBTRegressor:
-    """Boosted trees with familiar parameter names; unknown ones are refused."""
-    given = dict(params or {})
-    unknown = [k for k in given if k not in TREE_PARAMS]
-    if unknown:
-        raise ValueError(f"unknown parameters: {unknown}")
-    conf = dict(TREE_DEFAULTS)
-    for k, v in given.items():
-        conf[TREE_PARAMS[k]] = str(v) if k == "colsample_bytree" else v
-    return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="yhat", seed=seed, **conf, **extra)
-
-
-def fit_trees(rows: DataFrame, steps: Sequence[int], params: dict | None = None, seed: int = 42) -> dict:
-    """One boosted model per step ahead, over the rows of all series; several are fitted at a time."""
-    d = rows.select(array_to_vector("x").alias("features"), "y")
-    d = d.persist()
-
-    def fit(h: int):
-        return h, tree_estimator(params, seed).fit(d.select("features", F.col("y")[h - 1].alias("label")))
-
-    try:
-        with ThreadPool(FITS_AT_ONCE) as pool:
-            return dict(pool.map(inheritable_thread_target(fit), steps, chunksize=1))
-    finally:
-        d.unpersist()
-
-
-def predict_trees(models: dict, origins_x: DataFrame, step_seconds: int) -> DataFrame:
-    """Forecast rows of every fitted step."""
-    d = origins_x.select(SERIES, F.col(TS).alias("origin_ts"), array_to_vector("x").alias("features"))
-    out = None
-    for h, model in models.items():
-        part = model.transform(d).select(
-            SERIES, F.lit("GradientBoosting").alias("model"), "origin_ts", F.lit(h).alias("h"),
-            add_seconds("origin_ts", (h - 1) * step_seconds).alias(TS), "yhat",
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def learning_curve(models: dict, train: DataFrame, validation: DataFrame) -> DataFrame:
-    """Loss after each round, per step-ahead model, on both parts."""
-    def vec(df: DataFrame, h: int) -> DataFrame:
-        return df.select(array_to_vector("x").alias("features"), F.col("y")[h - 1].alias("label"))
-
-    rows = []
-    for h, m in models.items():
-        t = m.evaluateEachIteration(vec(train, h), "squared")
-        v = m.evaluateEachIteration(vec(validation, h), "squared")
-        rows += [(f"h{h}", i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(t, v))]
-    return train.sparkSession.createDataFrame(rows, "model_id string, x int, train double, val double")
-
-
 # -- residual correction ---------------------------------------------------------------------
 
 

@@ -1,11 +1,13 @@
 """Learners, bands, fleets: against numpy, and by invariants."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridcast.operators import fleet, intervals, learners, metrics, origins
+from gridcast.operators import baselines, fleet, intervals, learners, metrics, origins, trees
 from tests.helpers import frame, pandas_of, stride_series
 
 HOUR = 3600
@@ -57,7 +59,9 @@ def test_collinear_features_stay_finite(spark):
 
 def test_unknown_tree_parameters_are_refused():
     with pytest.raises(ValueError):
-        learners.tree_estimator({"no_such": 1})
+        trees.settings({"no_such": 1})
+    with pytest.raises(ValueError):
+        trees.settings({"max_depth": 0})
 
 
 def test_residual_correction_against_closed_form(spark):
@@ -141,44 +145,112 @@ def test_a_stored_fit_forecasts_other_readings(spark, model, tmp_path):
     assert ahead.count() == 6 and fresh.where("yhat is null").count() == 0
 
 
-def test_trees_fit_and_record_a_curve(spark):
-    df = frame(spark, stride_series(700))
+def tree_rows(spark, n=700):
+    df = frame(spark, stride_series(n))
     g = origins.mark_origins(fleet.prepare(df, HOUR), HOUR, 24, 6)
-    rows = origins.supervised(g, HOUR, 24, 6, keep_open=True)
-    fit = rows.where("fit_ok")
-    models = learners.fit_trees(fit, [1, 6], {"n_estimators": 4, "max_depth": 3})
-    f = learners.predict_trees(models, rows.where("is_origin"), HOUR)
-    assert set(r["h"] for r in f.select("h").distinct().collect()) == {1, 6}
-    curve = pandas_of(learners.learning_curve(models, fit, fit), "model_id", "x")
-    assert len(curve) == 8 and (curve.groupby("model_id")["train"].last() <= curve.groupby("model_id")["train"].first()).all()
+    return origins.supervised(g, HOUR, 24, 6, keep_open=True)
 
 
-def test_tree_query_forecasts_every_step_with_the_defaults(spark, monkeypatch):
-    from gridcast.plans import QUERIES
+def test_trees_fit_and_record_a_curve(spark):
+    rows = tree_rows(spark)
+    fit = rows.where("fit_ok")
+    models = trees.fit_boosted(fit, 6, [{"n_estimators": 4, "max_depth": 3}])
+    f = trees.predict_boosted(models, rows.where("is_origin"), HOUR)
+    assert set(r["h"] for r in f.select("h").distinct().collect()) == set(range(1, 7))
+    curve = pandas_of(trees.learning_curve(models, fit, fit, 6), "model_id", "x")
+    assert len(curve) == 24 and (curve.groupby("model_id")["train"].last() < curve.groupby("model_id")["train"].first()).all()
+    assert np.allclose(curve["train"], curve["val"])
+
+
+def grown_by_hand(x, y, edges, rounds, depth, rate):
+    """Boosting with exhaustive split search over the same candidate thresholds."""
+    guess = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        residual, node, step = y - guess, [np.arange(len(y))], np.zeros(len(y))
+        for level in range(depth + 1):
+            after = []
+            for rows in node:
+                r, best = residual[rows], (1e-9, None)
+                step[rows] = rate * r.sum() / (len(r) + trees.RIDGE)
+                for f in range(x.shape[1]) if level < depth else ():
+                    for c in edges[f]:
+                        left = x[rows, f] <= c
+                        if left.any() and not left.all():
+                            a, b = r[left], r[~left]
+                            gain = a.sum() ** 2 / (len(a) + 1) + b.sum() ** 2 / (len(b) + 1) - r.sum() ** 2 / (len(r) + 1)
+                            if gain > best[0] * (1 + 1e-9):
+                                best = (gain, left)
+                if best[1] is not None:
+                    after += [rows[best[1]], rows[~best[1]]]
+            node = after
+        guess = guess + step
+    return guess
+
+
+def test_trees_equal_an_exhaustive_search(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 3)).round(3)
+    y = np.stack([np.sin(3 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0), x[:, 1] ** 2], 1)
+    rows = spark.createDataFrame([("s", datetime(2024, 1, 1) + timedelta(hours=i), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "series_id string, ts timestamp_ntz, x array<double>, y array<double>").repartition(3)
+    conf = {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.5}
+    edges = trees.bin_edges(rows, 3)
+    for local_bytes in (None, 0):  # all rows in each task, and rows spread over tasks
+        models = trees.fit_boosted(rows, 2, [conf], local_bytes=local_bytes)
+        f = pandas_of(trees.predict_boosted(models, rows, HOUR), "h", "origin_ts")
+        for h in (1, 2):
+            want = grown_by_hand(x, y[:, h - 1], edges, 3, 3, 0.5)
+            assert np.allclose(f.loc[f["h"] == h, "yhat"], want, atol=1e-9)
 
-    asked, fit = {}, learners.fit_trees
 
-    def spied(rows, steps, params=None, seed=42):
-        asked.update(steps=list(steps), params=params)
-        return fit(rows, steps, {"n_estimators": 1, "max_depth": 1}, seed)  # the full fit takes minutes
+def test_spread_and_local_trees_agree(spark, monkeypatch):
+    fit = tree_rows(spark, 500).where("fit_ok").repartition(5)
+    trials = [{"n_estimators": 6, "max_depth": 4, "subsample": 0.7, "colsample_bytree": 0.5}, {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3}]
+    monkeypatch.setattr(trees, "MODELS_AT_ONCE", 5)
+    one, two = (pandas_of(trees.fit_boosted(fit, 3, trials, local_bytes=b), "trial", "h", "round") for b in (None, 0))
+    assert len(one) == 3 * (7 + 3) and one["feature"].apply(list).equals(two["feature"].apply(list))
+    assert all(np.allclose(a, b) for c in ("threshold", "value") for a, b in zip(one[c], two[c]))
 
-    monkeypatch.setattr(learners, "fit_trees", spied)
-    f = pandas_of(QUERIES["g7_boosted_trees"](spark, "/root/testdata/sf0.001"), "series_id", "origin_ts", "h")
-    assert asked == {"steps": list(range(1, 25)), "params": None} and learners.TREE_DEFAULTS == {"maxIter": 40, "maxDepth": 6}
-    assert len(f) and (f.groupby(["series_id", "origin_ts"])["h"].apply(list).map(lambda h: h == list(range(1, 25)))).all()
-    assert f["yhat"].notna().all()
 
+def test_trees_without_rows_give_no_forecast(spark):
+    rows = tree_rows(spark, 300)
+    none = trees.fit_boosted(rows.where("false"), 6)
+    assert none.count() == 0 and trees.predict_boosted(none, rows.where("is_origin"), HOUR).count() == 0
 
-def test_search_queries_draw_the_declared_spaces(spark, monkeypatch):
-    from gridcast.plans import QUERIES
 
-    found = []
-    monkeypatch.setattr(fleet, "forecast", lambda *a, **b: found.append((a[2], b["params"])) or 1 / 0)  # the full search takes long; a failed trial stays
-    for name, model in (("g14_arima_search", "ARIMA"), ("g14_tree_search", "GradientBoosting")):
-        found.clear()
-        trials = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-        assert [r.trial for r in trials] == list(range(20)) == list(range(len(found)))
-        assert all(m == model and set(p) == set(fleet.SEARCH_SPACES[model]) for m, p in found)
+def test_trees_learn_a_cycle_out_of_sample(spark):
+    grid = fleet.prepare(frame(spark, stride_series(1500)), HOUR)
+    f = fleet.forecast(grid, HOUR, "GradientBoosting", 24, 24, start_fraction=0.5)
+    m = metrics.point_metrics(metrics.score(f, grid)).first()
+    assert m["mape"] < 15 and m["r_squared"] > 0.5
+    first = f.agg(F.min("origin_ts")).first()[0]
+    changed = stride_series(1500)
+    changed.loc[changed["ts"] >= first, "load"] *= 3
+    again = fleet.forecast(fleet.prepare(frame(spark, changed), HOUR), HOUR, "GradientBoosting", 24, 24, start_fraction=0.5)
+    same = F.col("origin_ts") == F.lit(first)
+    assert np.allclose(pandas_of(f.where(same), "h")["yhat"], pandas_of(again.where(same), "h")["yhat"])
+
+
+def test_shared_trials_equal_single_fits(spark):
+    df = frame(spark, stride_series(600))
+    space = {"p": {"type": "int", "low": 1, "high": 3}, "d": {"type": "categorical", "choices": [0, 1]}}
+    trials = fleet.tune(df, HOUR, "ARIMA", 24, 6, space, n_trials=5).collect()
+    assert [r.trial for r in trials] == list(range(5)) and all(r.cv_rmse > 0 for r in trials)
+    split, _ = fleet._search_split(df, HOUR, 24, 6)
+    train = F.col("role") == "training"
+    shared = baselines.fit_autoregressions(split, HOUR, [(3, 0), (1, 0), (2, 1)], train)
+    for p, d in ((3, 0), (2, 1)):  # the largest order of each difference has the rows of a fit of its own
+        own = baselines.fit_autoregression(split, HOUR, p, d, train=train).first()["w"]
+        assert np.allclose(shared.where((F.col("p") == p) & (F.col("d") == d)).first()["w"], own)
+    params, fitted = fleet.refit(df, HOUR, "ARIMA", 24, 6, fleet.tune(df, HOUR, "ARIMA", 24, 6, space, n_trials=5))
+    best = min(trials, key=lambda r: r.cv_rmse)
+    assert {k: str(v) for k, v in params.items()} == best.params and len(fitted.first()["w"]) == params["p"] + 1
+
+
+def test_tree_trials_are_scored_apart(spark):
+    space = {"n_estimators": {"type": "categorical", "choices": [2, 10]}, "max_depth": {"type": "categorical", "choices": [3, 99]}}
+    trials = fleet.tune(frame(spark, stride_series(500)), HOUR, "GradientBoosting", 24, 3, space, n_trials=6, seed=1).collect()
+    by = {(r.params["n_estimators"], r.params["max_depth"]): r.cv_rmse for r in trials}
+    assert by["2", "3"] > by["10", "3"] and all(v is None for k, v in by.items() if k[1] == "99")
 
 
 def test_bands_cover_about_their_nominal_share(spark):
@@ -242,12 +314,14 @@ def test_search_is_seeded_and_keeps_failed_trials(spark):
 
     def objective(p):
         if p["c"] == "y":
-            raise RuntimeError("no")
+            raise ValueError("no")
         return p["a"] + p["b"]
 
     one = fleet.random_search(spark, objective, space, 8, seed=3).drop("duration_s").orderBy("trial").collect()
     two = fleet.random_search(spark, objective, space, 8, seed=3).drop("duration_s").orderBy("trial").collect()
     assert one == two and any(r["cv_rmse"] is None for r in one)
+    with pytest.raises(RuntimeError):  # no fault of a setting
+        fleet.random_search(spark, lambda p: (_ for _ in ()).throw(RuntimeError("lost")), space, 2)
     best = fleet.best_trial(spark.createDataFrame(one)).first()
     assert best["cv_rmse"] == min(r["cv_rmse"] for r in one if r["cv_rmse"] is not None)
 
