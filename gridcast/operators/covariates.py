@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.functions.blocks import BLK, LOAD, SERIES, TS, attach, blocked, from_here, up_to_here, with_summary
+from gridcast.functions.blocks import BLK, LOAD, SERIES, TS, attach, block_of, block_seconds, blocked, from_here, up_to_here, with_summary
 from gridcast.functions.time import add_seconds, epoch
 from gridcast.sources.catalog import median_gap
 from gridcast.sources.readings import DataLoadError
@@ -74,6 +74,25 @@ def merge_covariates(load: DataFrame, cov: DataFrame, columns: Sequence[str] | N
     return load.join(picked, keys, "left")
 
 
+def merge_by_block(load: DataFrame, cov: DataFrame, step_seconds: int, columns: Sequence[str]) -> DataFrame:
+    """Left join of a covariate that all series share, without moving the load rows once they lie by time block.
+
+    The covariate becomes one row per time block with a map from time to values; each (series, block) of the load
+    takes its block's map and each row looks its time up. ``cov`` must hold one row per time (:func:`unique_times`).
+    """
+    unknown = [c for c in columns if c not in cov.columns]
+    if unknown:
+        raise DataLoadError(f"unknown covariate columns: {unknown}")
+    length = block_seconds(step_seconds)
+    d = load if BLK in load.columns else blocked(load, length)
+    maps = cov.where(F.col(TS).isNotNull()).groupBy(block_of(epoch(TS), length).alias(BLK)).agg(
+        F.map_from_entries(F.collect_list(F.struct(TS, F.struct(*columns)))).alias("_cov")
+    )
+    blocks = d.groupBy(SERIES, BLK).agg(F.lit(1).alias("_one")).drop("_one")
+    met = d.join(blocks.join(maps, BLK).select(SERIES, BLK, "_cov"), [SERIES, BLK], "left")
+    return met.withColumn("_at", F.col("_cov")[F.col(TS)]).select(*d.columns, *[F.col("_at")[c].alias(c) for c in columns])
+
+
 def fill_covariates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Carry the last known value forward, then the first one back.
 
@@ -105,7 +124,7 @@ def fill_covariates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for c in columns
     }
-    rest = [c for c in df.columns if c not in (*columns, BLK)]
+    rest = [c for c in df.columns if c not in columns]
     return d.select(*rest, *[e.alias(c) for c, e in filled.items()], missing.alias("was_missing"))
 
 

@@ -16,7 +16,8 @@ from gridcast.functions.blocks import LOAD, SERIES, TS, attach
 from gridcast.functions.time import STEP_SECONDS, add_seconds, calendar, epoch, steps_per_day
 from gridcast.operators import baselines, intervals, metrics
 from gridcast.operators.checks import SPARE_ROWS
-from gridcast.operators.grid import fill_all, regular_grid
+from gridcast.operators.covariates import fill_covariates
+from gridcast.operators.grid import interpolate, regular_grid
 from gridcast.operators.learners import fit_linear, predict_linear
 from gridcast.operators.origins import mark_origins, over_horizon, supervised
 from gridcast.operators.splits import seasonal_split, sequential_split
@@ -54,13 +55,16 @@ def energy_kwh(model: str, seconds: float) -> float:
     return WATTS.get(model, DEFAULT_WATTS) * seconds / 3.6e6
 
 
-def prepare(readings: DataFrame, step_seconds: int) -> DataFrame:
+def prepare(readings: DataFrame, step_seconds: int, covariates: Sequence[str] = (), max_gap: int | None = None) -> DataFrame:
     """Readings on a regular grid without holes (one shuffle of the rows).
 
-    Every forecaster reads the grid several times (origins, sources, actual
+    Holes in the load are interpolated, with ``max_gap`` (seconds) only shorter ones; ``interpolated`` marks what was filled. Covariates carry
+    their last known value forward. Every forecaster reads the grid several times (origins, sources, actual
     values), so it is settled here.
     """
-    return settle(fill_all(regular_grid(readings, step_seconds), step_seconds))
+    columns = [SERIES, TS, LOAD, *dict.fromkeys(covariates)]
+    grid = interpolate(regular_grid(readings.select(*columns) if covariates else readings, step_seconds), step_seconds, max_gap_seconds=max_gap, head=True)
+    return settle(fill_covariates(grid, columns[3:]).drop("was_missing") if covariates else grid)
 
 
 def split_failures(readings: DataFrame, lookback: int, horizon: int) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +84,8 @@ def split_failures(readings: DataFrame, lookback: int, horizon: int) -> tuple[Da
 
 
 def _windows(
-    grid: DataFrame, step_seconds: int, lookback: int, horizon: int, train: Column | None, calendar_static: bool, **kwargs
+    grid: DataFrame, step_seconds: int, lookback: int, horizon: int, train: Column | None, calendar_static: bool,
+    past: Sequence[str] = (), future: Sequence[str] = (), **kwargs,
 ) -> DataFrame:
     """Supervised rows of a fitted model. ``fit_ok`` rows lie wholly inside what ``train`` marks, by default
     the rows before the first origin of each series."""
@@ -93,7 +98,7 @@ def _windows(
     if "role" not in marked.columns:
         early = F.col("rel") < 0 if train is None else train
         marked = marked.withColumn("role", F.when(early, "training").otherwise("validation"))
-    return supervised(marked.drop("rel"), step_seconds, lookback, horizon, static=static, keep_open=True)
+    return supervised(marked.drop("rel"), step_seconds, lookback, horizon, past=past, future=future, static=static, keep_open=True)
 
 
 def _fit_rows(rows: DataFrame, model: str, horizon: int, params: dict) -> DataFrame:
@@ -104,10 +109,12 @@ def _fit_rows(rows: DataFrame, model: str, horizon: int, params: dict) -> DataFr
 
 def fit(
     grid: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
-    train: Column | None = None, params: dict | None = None, calendar_static: bool = True,
+    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, past: Sequence[str] = (), future: Sequence[str] = (),
 ) -> DataFrame | None:
     """What a model learns from the rows that ``train`` marks (default: all rows of ``grid``).
 
+    Linear models and trees take the lookback of the ``past`` covariates and the ``future`` ones over the horizon, AR models the latter.
+
     A settled table of coefficients ``(series_id, h, w)`` or of trees (:func:`gridcast.operators.trees.fit_boosted`), or None for a
     model without a fit. Both are plain tables: write it, read it, and give it to :func:`forecast` as ``fitted``.
     """
@@ -115,19 +122,20 @@ def fit(
     if model not in FITTED_MODELS:
         return None
     if model == "ARIMA":
-        return settle(baselines.fit_autoregression(grid, step_seconds, params.get("p", 1), params.get("d", 1), train=train))
-    return settle(_fit_rows(_windows(grid, step_seconds, lookback, horizon, train, calendar_static), model, horizon, params))
+        return settle(baselines.fit_autoregression(grid, step_seconds, params.get("p", 1), params.get("d", 1), future, train))
+    return settle(_fit_rows(_windows(grid, step_seconds, lookback, horizon, train, calendar_static, past, future), model, horizon, params))
 
 
 def forecast(
     grid: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
-    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, fitted: DataFrame | None = None, **kwargs,
+    train: Column | None = None, params: dict | None = None, calendar_static: bool = True, fitted: DataFrame | None = None,
+    past: Sequence[str] = (), future: Sequence[str] = (), **kwargs,
 ) -> DataFrame:
     """Forecast rows of every rolling origin for one kind of model.
 
     ``fitted`` is the result of :func:`fit`. Without it the model is fitted here on the rows that ``train`` marks,
     by default those before the first origin of each series, so no scored value is part of a fit.
-    Nothing is refitted while rolling.
+    Nothing is refitted while rolling. ``past`` and ``future`` name covariates of ``grid`` (see :func:`fit`); naive models use none.
     """
     params = dict(params or {})
     if model == "NaiveSeasonal":
@@ -139,11 +147,11 @@ def forecast(
         return baselines.moving_average(grid, step_seconds, lookback, horizon, **kwargs)
     if model == "ARIMA":
         return baselines.autoregression(
-            grid, step_seconds, horizon, params.get("p", 1), params.get("d", 1), train=train, lookback=lookback, coef=fitted, **kwargs
+            grid, step_seconds, horizon, params.get("p", 1), params.get("d", 1), future, train, lookback=lookback, coef=fitted, **kwargs
         )
     if model not in FITTED_MODELS:
         raise ValueError(f"unknown model {model!r}")
-    rows = _windows(grid, step_seconds, lookback, horizon, train, calendar_static, **kwargs)
+    rows = _windows(grid, step_seconds, lookback, horizon, train, calendar_static, past, future, **kwargs)
     if fitted is None:
         fitted = _fit_rows(rows, model, horizon, params)
     origins = rows.where("is_origin")
@@ -154,16 +162,19 @@ def forecast(
 
 def backtest(
     readings: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
-    stride: int | None = None, levels: Sequence[float] | None = None, peaks: DataFrame | None = None, **kwargs,
+    stride: int | None = None, levels: Sequence[float] | None = None, peaks: DataFrame | None = None,
+    max_gap: int | None = None, real_only: bool = False, **kwargs,
 ) -> dict[str, DataFrame]:
     """Roll a model over history and score it in every way.
 
+    With ``real_only`` steps without a reading of their own are forecast but not scored.
+
     One settled table of scored rows feeds all blocks. Bands come from the residuals of the first half of the
     windows and are scored on the rest.
     """
-    grid = prepare(readings, step_seconds)
+    grid = prepare(readings, step_seconds, [*kwargs.get("past", ()), *kwargs.get("future", ())], max_gap)
     f = forecast(grid, step_seconds, model, lookback, horizon, stride=stride, **kwargs)
-    scored = settle(metrics.score(f, grid))
+    scored = settle(metrics.score(f.drop("actual"), grid.where("not interpolated")) if real_only else metrics.score(f, grid))
     flat = metrics.flatten(scored)
     days = metrics.peak_days(flat, peaks)
     out = {
@@ -228,6 +239,7 @@ def stride_sweep(readings: DataFrame, step_seconds: int, model: str, lookback: i
 def train_fleet(
     readings: DataFrame, step_seconds: int, model: str, lookback: int, horizon: int,
     building: Column | None = None, validation: float = 0.2, params: dict | None = None, steps: str = "all",
+    past: Sequence[str] = (), future: Sequence[str] = (), calendar_static: bool = True, max_gap: int | None = None,
 ) -> dict[str, DataFrame]:
     """Fit every series, score both parts and describe the runs.
 
@@ -236,13 +248,14 @@ def train_fleet(
     ``scored``, ``summary`` and ``fitted``, which :func:`evaluate` and :func:`forward_forecast` take.
     """
     good, failures = split_failures(readings, lookback, horizon)
-    grid = prepare(good, step_seconds)
+    grid = prepare(good, step_seconds, [*past, *future], max_gap)
     rule = sequential_split if model in SINGLE_SERIES_MODELS else seasonal_split
     split = settle(rule(grid, step_seconds, validation).drop("idx", "n_rows"))
     began = time.monotonic()
-    fitted = fit(split, step_seconds, model, lookback, horizon, F.col("role") == "training", params)
+    taken = {"calendar_static": calendar_static, "past": past, "future": future}
+    fitted = fit(split, step_seconds, model, lookback, horizon, F.col("role") == "training", params, **taken)
     seconds = time.monotonic() - began  # the fit alone
-    f = forecast(split, step_seconds, model, lookback, horizon, params=params, fitted=fitted, start_fraction=0.0)
+    f = forecast(split, step_seconds, model, lookback, horizon, params=params, fitted=fitted, start_fraction=0.0, **taken)
     roles = split.select(SERIES, F.col(TS).alias("origin_ts"), "role")
     scored = metrics.score(f, split).join(roles, [SERIES, "origin_ts"])
     if steps == "last":
@@ -255,20 +268,22 @@ def train_fleet(
     facts = split.groupBy(SERIES).agg(
         F.min(TS).alias("train_start"), F.max(TS).alias("train_end"), F.count(F.lit(1)).alias("n_rows")
     )
-    created = F.localtimestamp()
+    created, fit_id = F.localtimestamp(), uuid.uuid4().hex[:8]
     base = building if building is not None else F.col(SERIES)
     label = next((k for k, s in STEP_SECONDS.items() if s == step_seconds), f"{step_seconds}s")
     runs = facts.join(wide, SERIES, "left").select(
-        model_id(base, F.lit(model), created, F.concat_ws("_", F.lit(uuid.uuid4().hex[:8]), SERIES)).alias("model_id"),
-        SERIES, base.alias("building"), F.lit(model).alias("model_type"), created.alias("created_at"),
+        model_id(base, F.lit(model), created, F.concat_ws("_", F.lit(fit_id), SERIES)).alias("model_id"),
+        F.lit(fit_id).alias("fit_id"), SERIES, base.alias("building"), F.lit(model).alias("model_type"), created.alias("created_at"),
         F.lit(label).alias("frequency"), F.lit(lookback).alias("lookback"), F.lit(horizon).alias("horizon"),
         F.lit(validation).alias("validation_split"), F.lit(LOAD).alias("target"),
+        F.array(*[F.lit(c) for c in past]).cast("array<string>").alias("past_covariates"),
+        F.array(*[F.lit(c) for c in future]).cast("array<string>").alias("future_covariates"), F.lit(calendar_static).alias("calendar_static"),
         "train_start", "train_end", "n_rows", "train_cv_rmse", "cv_rmse",
         F.lit(seconds).alias("runtime_s"), F.lit(energy_kwh(model, seconds)).alias("energy_kwh"),
         (F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]) if params
          else F.create_map().cast("map<string,string>")).alias("params"),
     )
-    return {"runs": runs, "failures": failures, "scored": scored, "summary": summarise(runs, failures), "fitted": fitted}
+    return {"runs": runs, "failures": failures, "scored": scored, "summary": summarise(runs, failures), "fitted": fitted, "fit_id": fit_id}
 
 
 def summarise(runs: DataFrame, failures: DataFrame) -> DataFrame:
@@ -291,28 +306,35 @@ def forward_origins(readings: DataFrame, step_seconds: int) -> DataFrame:
 def forward_forecast(
     readings: DataFrame, step_seconds: int, horizon: int, model: str = "NaiveSeasonal",
     lookback: int = 24, trained_horizon: int | None = None, params: dict | None = None, fitted: DataFrame | None = None,
+    past: Sequence[str] = (), future: Sequence[str] = (), calendar_static: bool = True,
 ) -> DataFrame:
     """Forecast past the last known load of every series.
 
     The future steps are appended as rows without load, so a forward forecast
     is the rolling forecast of one extra origin. ``fitted`` is a stored fit;
-    without it the model is fitted on all known rows.
+    without it the model is fitted on all known rows. ``future`` covariates come from the rows ahead in ``readings``; series whose rows
+    ahead lack one of them get no forecast, see :func:`missing_future`.
     """
     if trained_horizon is not None and horizon > trained_horizon:
         raise ValueError(f"horizon {horizon} exceeds the trained {trained_horizon}")
     origins = forward_origins(readings, step_seconds)
     context = attach(readings, origins, [SERIES]).where(F.col(TS) < F.col("origin_ts")).drop("origin_ts")
-    grid = prepare(context, step_seconds)
+    covariates = list(dict.fromkeys([*past, *future]))
+    grid = prepare(context, step_seconds, covariates)
     if model == "NaiveSeasonal":
         return baselines.seasonal_naive(grid, origins, step_seconds, horizon, (params or {}).get("period"))
-    ahead = over_horizon(origins, step_seconds, horizon).select(SERIES, TS, F.lit(None).cast("double").alias(LOAD), F.lit(False).alias("_known"))
-    rows = grid.select(SERIES, TS, LOAD, F.lit(True).alias("_known")).unionByName(ahead)
     starts = readings_length(grid)
-    f = forecast(
-        rows, step_seconds, model, lookback, horizon, train=F.col("_known"), params=params,
-        starts=starts, fitted=fitted,
+    ahead = over_horizon(origins, step_seconds, horizon).select(SERIES, TS, F.lit(None).cast("double").alias(LOAD), F.lit(False).alias("_known"))
+    if future:
+        ahead = ahead.join(readings.groupBy(SERIES, TS).agg(*[F.min(c).alias(c) for c in future]), [SERIES, TS], "left")
+        starts = starts.join(missing_future(readings, step_seconds, horizon, future).select(SERIES), SERIES, "left_anti")
+    ahead = ahead.withColumns({c: F.lit(None).cast(grid.schema[c].dataType) for c in past if c not in future})
+    columns = [SERIES, TS, LOAD, *covariates]
+    rows = grid.select(*columns, F.lit(True).alias("_known")).unionByName(ahead.select(*columns, "_known"))
+    return forecast(
+        rows, step_seconds, model, lookback, horizon, train=F.col("_known"), params=params, starts=starts, fitted=fitted,
+        past=past, future=future, calendar_static=calendar_static,
     )
-    return f
 
 
 def readings_length(grid: DataFrame) -> DataFrame:
@@ -323,7 +345,7 @@ def readings_length(grid: DataFrame) -> DataFrame:
 def missing_future(readings: DataFrame, step_seconds: int, horizon: int, future: Sequence[str]) -> DataFrame:
     """Series whose known-ahead covariates do not cover the horizon."""
     want = over_horizon(forward_origins(readings, step_seconds), step_seconds, horizon).select(SERIES, TS)
-    have = readings.select(SERIES, TS, *future)
+    have = readings.groupBy(SERIES, TS).agg(*[F.min(c).alias(c) for c in future])
     d = want.join(have, [SERIES, TS], "left")
     bad = F.lit(False)
     for c in future:
@@ -466,12 +488,15 @@ def refit(readings: DataFrame, step_seconds: int, model: str, lookback: int, hor
     Without a scored trial the defaults are fitted.
     """
     best = best_trial(trials).select("params").collect()
-    params = {k: _typed(v) for k, v in best[0]["params"].items()} if best else {}
+    params = {k: typed(v) for k, v in best[0]["params"].items()} if best else {}
     split, _ = _search_split(readings, step_seconds, lookback, horizon)
     return params, fit(split, step_seconds, model, lookback, horizon, F.col("role") == "training", params)
 
 
-def _typed(text: str) -> int | float | str:
+def typed(text: str) -> int | float | bool | str:
+    """A stored parameter as a number or truth value where it reads as one."""
+    if text in ("True", "False", "true", "false"):
+        return text.lower() == "true"
     for kind in (int, float):
         try:
             return kind(text)

@@ -12,7 +12,7 @@ RUN_SCHEMA = """
     target string, past_covariates array<string>, future_covariates array<string>,
     train_start timestamp_ntz, train_end timestamp_ntz, n_rows bigint,
     train_cv_rmse double, cv_rmse double, runtime_s double, energy_kwh double,
-    params map<string,string>, deleted boolean
+    params map<string,string>, deleted boolean, fit_id string, calendar_static boolean
 """
 
 
