@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import components, text_of
+from gridcast.llm.common import GAP, components, text_of
 from gridcast.session import settle
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
@@ -42,6 +43,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
+def codewords() -> np.ndarray:
+    """The 4,096 words of the binary Golay code of length 23."""
+    generator = 0b101011100011
+    data = np.arange(4096, dtype=np.uint32)
+    code = data << 11
+    for k in range(22, 10, -1):  # remainder of the division by the generator polynomial
+        code ^= np.where(code >> k & 1, np.uint32(generator << (k - 11)), np.uint32(0))
+    return code | data << 11
+
+
 @lru_cache(1)
 def golay_keys() -> tuple[np.ndarray, np.ndarray]:
     """For each 16-bit word, padded to 23 bits: the index of its nearest codeword, and of all within four bits (-1: none).
@@ -49,12 +60,7 @@ def golay_keys() -> tuple[np.ndarray, np.ndarray]:
     The perfect (23, 12) Golay code has one codeword within three bits of any word. If two words differ in one
     bit, the codeword nearest to the first is within four bits of the second; at most six are.
     """
-    generator = 0b101011100011
-    data = np.arange(4096, dtype=np.uint32)
-    code = data << 11
-    for k in range(22, 10, -1):  # remainder of the division by the generator polynomial
-        code ^= np.where(code >> k & 1, np.uint32(generator << (k - 11)), np.uint32(0))
-    code |= data << 11
+    code = codewords()
     words = np.arange(1 << 16, dtype=np.uint32)
     nearest, near, count = np.full(1 << 16, -1, np.int32), np.full((1 << 16, 6), -1, np.int32), np.zeros(1 << 16, np.int64)
     for index, c in enumerate(code):
@@ -125,10 +131,173 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their near-copy group; columns as they were.
+# --- near copies by five-word similarity ------------------------------------------------------------------------------
+
+# Whole-text fingerprints of texts at similarity 0.8 differ in about ten bits, beyond any fuzzy key. So a text gets
+# several fingerprints, each of the few shingles that one ordering puts first; texts at 0.8 share one of them with 0.985.
+LIKE, WORDS, ORDERINGS, FIRST, PIVOTS = 0.8, 5, 8, 4, 4
+_MIX = np.random.default_rng(23).integers(1, 1 << 62, ORDERINGS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def text_key():
+    """A text's lower-cased words as one hash: texts that share it have the same shingles."""
+    folded = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.trim(F.regexp_replace(folded, GAP, " ")).cast("binary"))
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; fewer words are one shingle, none are none."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(found) - words + 1)
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def sample_fingerprints(hashes: np.ndarray) -> list[int]:
+    """For each ordering the SimHash of the first shingles: a bit is set if it is set in over half of them."""
+    if not len(hashes):
+        return [0] * ORDERINGS
+    out = []
+    for k in range(ORDERINGS):
+        order = hashes * _MIX[k]
+        order ^= order >> np.uint64(29)
+        first = hashes[np.argsort(order, kind="stable")[:FIRST]]
+        ones = np.unpackbits(first.view(np.uint8).reshape(len(first), 8), axis=1, bitorder="little").sum(0)
+        out.append(int(np.packbits(ones * 2 > len(first), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _segment_codes(fps: np.ndarray) -> np.ndarray:
+    """Index of the nearest Golay codeword of bits 0-22, 23-45 and 46-63 (padded): rows by three."""
+    nearest = golay_nearest()
+    fps = fps.view(np.uint64)
+    parts = [fps & np.uint64(0x7FFFFF), fps >> np.uint64(23) & np.uint64(0x7FFFFF), fps >> np.uint64(46)]
+    return np.stack([nearest[p.astype(np.int64)] for p in parts], 1).astype(np.int64)
+
+
+@lru_cache(1)
+def golay_nearest() -> np.ndarray:
+    """The index of the one codeword within three bits of each 23-bit word."""
+    code, data = codewords(), np.arange(4096)
+    out = np.zeros(1 << 23, np.int16)
+    places = [1 << i for i in range(23)]
+    errors = [0, *(sum(c) for n in (1, 2, 3) for c in combinations(places, n))]
+    for e in errors:
+        out[code ^ np.uint32(e)] = data
+    return out
+
+
+def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three keys of each fingerprint: codeword indices of two of its segments."""
+    for batch in batches:
+        fps, order = batch.column("fp").to_numpy(zero_copy_only=False), batch.column("ordering").to_numpy(zero_copy_only=False)
+        code = _segment_codes(np.ascontiguousarray(fps))
+        for i, (a, b) in enumerate(((0, 1), (1, 2), (0, 2))):
+            key = (order.astype(np.int64) * 3 + i) << 24 | code[:, a] << 12 | code[:, b]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(order, pa.int32()), pa.array(fps)], names=["key", "ordering", "fp"])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, fps`` of every row: the hash of its words and its sample fingerprints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sample_fingerprints(shingles(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("node"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, node string, fps array<bigint>")
+
+
+def candidate_buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket, node``: texts that share a sample fingerprint, or whose fingerprints differ in one bit, under one ordering.
+
+    Of three segments two carry no error then, so the indices of their nearest codewords agree in one of three
+    pairs; the join that meets them verifies the fingerprints. Only buckets with several texts are returned.
+    """
+    each = nodes.select("node", F.posexplode("fps").alias("ordering", "fp"))
+    prints = each.select("ordering", "fp").distinct()
+    keyed = prints.mapInArrow(_sample_keys, "key bigint, ordering int, fp bigint")
+    other = keyed.select("key", F.col("ordering").alias("_o"), F.col("fp").alias("other"))
+    one = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) == 1
+    near = keyed.join(other, "key").where((F.col("ordering") == F.col("_o")) & (F.col("fp") < F.col("other")) & one).select("ordering", "fp", "other").distinct()
+    moved = each.join(near.select("ordering", F.col("other").alias("fp"), F.col("fp").alias("_to")), ["ordering", "fp"]).select("node", "ordering", F.col("_to").alias("fp"))
+    rows = settle(each.unionByName(moved).select(F.xxhash64("ordering", "fp").alias("bucket"), "node"))
+    several = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    key = F.struct("bucket").alias("_k")  # a key of its own, so a large bucket can be split
+    return rows.select("node", "bucket", key).join(several.select(key), "_k").select("bucket", "node")
+
+
+def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
+    """``sketches`` of every row, and ``node, component`` of the texts that have a link.
+
+    Texts are linked at a Jaccard similarity of their five-word shingle sets of ``like`` or more, verified exactly; candidates share a
+    bucket. A bucket is not compared pair by pair: in each round some pivots from outside its largest component, four times as many as before,
+    are compared with its texts of other components. A bucket whose texts are one component is done; any other goes on until all
+    texts outside the largest component were pivots, so no link between components is lost, and a large group of near copies
+    costs a few rounds.
+    """
+    own = settle(sketches(docs))
+    nodes = own.groupBy("node").agg(F.first("fps").alias("fps"))
+    members = settle(candidate_buckets(nodes).withColumn("_u", F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 1) / float(1 << 63)))
+    kind = "node string, hashes array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    wanted = members.select("node").distinct()
+    texts = docs.select(text_key().alias("node"), text_of().alias("text")).join(wanted, "node", "left_semi")
+    sets = settle(texts.mapInArrow(run, kind).dropDuplicates(["node"]))
+    links, found, pivots = None, None, PIVOTS
+    while True:
+        labelled = members if found is None else members.join(found, "node", "left")
+        labelled = labelled.withColumn("label", F.col("node") if found is None else F.coalesce("component", "node"))
+        per = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        main = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+        main = main.select(F.struct("bucket").alias("_k"), F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("others"))
+        open_ones = settle(labelled.select(F.struct("bucket").alias("_k"), "node", "_u", "label").join(main, "_k"))
+        if open_ones.isEmpty():
+            break
+        chosen = open_ones.where((F.col("label") != F.col("main")) & (F.col("_u") < pivots / F.col("others")))
+        pair = chosen.select("_k", F.col("node").alias("a"), F.col("label").alias("_la")).join(
+            open_ones.select("_k", F.col("node").alias("b"), F.col("label").alias("_lb")), "_k"
+        ).where("_la <> _lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = verified(pair, sets, like)
+        links = settle(new if links is None else links.unionByName(new))
+        found = components(links, "a", "b").select("node", "component")
+        if open_ones.where(F.col("others") > pivots).isEmpty():  # all outside the main component were pivots
+            break
+        pivots *= 4
+    return own, found if found is not None else own.select("node", F.col("node").alias("component")).where("false")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``like`` or more."""
+    left = sets.select(F.struct("node").alias("_a"), F.col("hashes").alias("_x"))
+    right = sets.select(F.struct("node").alias("_b"), F.col("hashes").alias("_y"))
+    near = pairs.withColumn("_a", F.struct(F.col("a").alias("node"))).join(left, "_a").withColumn("_b", F.struct(F.col("b").alias("node"))).join(right, "_b")
+    m, n = F.size("_x"), F.size("_y")
+    near = near.where(F.least(m, n) >= like * F.greatest(m, n) - 1e-9)
+    both = F.size(F.array_intersect("_x", "_y"))
+    return near.where(both >= like * (m + n - both) - 1e-9).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` of which one of each group of near copies stays, that with the smallest doc_id; columns as they were.
 
-    Rows with a null doc_id stay only where their whole group has none.
+    Near copies have five-word shingle sets with a Jaccard similarity of ``like`` or more, or are linked by such; see :func:`similar_texts`. Each
+    row is judged by its own doc_id and text: rows without doc_id, or that repeat one, stay or go by their own text, and
+    are later in order than rows with one. Of rows that repeat doc_id and words one stays. Texts with fewer than five words
+    are one shingle, so only equal ones meet; empty and null texts are copies of each other. An empty table gives an empty result.
     """
-    kept = near_groups(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    own, found = similar_texts(docs, like)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    grouped = own.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    least = settle(grouped.groupBy("component").agg(F.min(rank).alias("_r")).select(F.col("_r.doc_id").alias("_keep"), F.col("_r.node").alias("_node")))
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_key"))
+    stay = rows.join(least, (F.col("_key") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    repeated = not own.join(least, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_keep"))).groupBy("doc_id", "node").count().where("count > 1").isEmpty()
+    return (stay.dropDuplicates(["_id", "_key"]) if repeated else stay).select(*columns)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.llm.common import text_of
@@ -19,8 +19,8 @@ from gridcast.session import settle
 MOST_LABELLED = 200_000
 # Word beginnings that lend their statistics to the words below them.
 PREFIXES = (4, 5, 6)
-# Strength of the Dirichlet prior, in documents; evidence a key must show against its parent; keys that tasks hold at most.
-PRIOR, LEAST_Z, LEAST_DOCS, MOST_KEYS = 8.0, 4.0, 3, 1_000_000
+# Strength of the Dirichlet prior, in documents; evidence and documents a key must show against its parent.
+PRIOR, LEAST_Z, LEAST_DOCS = 8.0, 4.0, 3
 LOW, HIGH = -3, 12
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,11 +84,7 @@ def log_odds(docs: DataFrame, rows: DataFrame) -> dict[str, int]:
         ).where((F.col("z") >= LEAST_Z) & (F.abs(F.col("odds") + math.log(base / (1 - base)) - F.col("_up")) >= 0.7)).select("key", "z", "odds")
         found = kept if found is None else found.union(kept)
         parent, above = level.select(F.col("k").alias("_p"), F.col("r").alias("up")), depth
-    found = settle(found)
-    least = LEAST_Z
-    while found.where(F.col("z") >= least).count() > MOST_KEYS:  # the weakest evidence goes first
-        least *= 1.25
-    rows_of = found.where(F.col("z") >= least).collect()
+    rows_of = found.collect()  # keys that several of at most MOST_LABELLED documents support
     return {r["key"]: max(LOW, min(HIGH, round(2 * r["odds"]) - 1)) for r in rows_of}
 
 
@@ -115,8 +111,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def scan(docs: DataFrame, weights: dict[str, int]) -> DataFrame:
-    """``doc_id, n, counts, passages``: words, how many had each score, and all maximal segments as code point spans with scores."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most MOST_KEYS entries
+    """``doc_id, text_md5, n, counts, passages``: words, how many had each score, and all maximal segments as code point spans with scores."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, memo = shared.value, {}
@@ -148,12 +144,12 @@ def scan(docs: DataFrame, weights: dict[str, int]) -> DataFrame:
                     found = [{"start": at[s][0], "end": at[e - 1][1], "score": v} for s, e, v in found]
                 out.append((len(words), np.bincount(values - LOW, minlength=HIGH - LOW + 1).tolist(), found))
             n, counts, found = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(found, spans)], names=["doc_id", "n", "counts", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(found, spans)], names=["doc_id", "text_md5", "n", "counts", "passages"])
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n bigint, counts array<bigint>, passages array<struct<start:bigint,end:bigint,score:bigint>>"
+    return docs.select("doc_id", text_md5(), text_of().alias("text")).mapInArrow(
+        run, f"doc_id {kind}, text_md5 string, n bigint, counts array<bigint>, passages array<struct<start:bigint,end:bigint,score:bigint>>"
     )
 
 
@@ -188,7 +184,7 @@ def logistic(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted, n_passages, passages`` of every row of ``docs(doc_id, text, ...)``.
+    """``doc_id, held_out, score, predicted, n_passages, passages, text_md5`` of every row of ``docs(doc_id, text, ...)``.
 
     Token log-odds are learnt from ``labels(doc_id, toxic)`` rows that are not held out. A segment of score S in a text of n
     words has about K n exp(-decay S) equals by chance in clean text; ``passages`` holds those expected less
@@ -212,17 +208,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chance = F.log(F.greatest("n", F.lit(1)).cast("double")) + scale
     passages = F.filter("passages", lambda p: p["score"] * rate > chance)
     evidence = F.aggregate(passages, F.lit(0.0), lambda s, p: s + p["score"] * rate - chance)
-    judged = scanned.select("doc_id", passages.alias("passages"), F.least(evidence, F.lit(40.0)).alias("_x"))
+    judged = scanned.select("doc_id", "text_md5", passages.alias("passages"), F.least(evidence, F.lit(40.0)).alias("_x"))
     bins = judged.join(rows, "doc_id").groupBy(F.round("_x", 1).alias("x")).agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()  # 401 bins
     a, b = logistic([(r["x"], r["n"], r["y"]) for r in bins]) if bins else (-40.0, 0.0)
     score = 1 / (1 + F.exp(-(F.lit(float(a)) + float(b) * F.col("_x"))))
     return judged.select(
         "doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
-        F.size("passages").cast("long").alias("n_passages"), "passages",
+        F.size("passages").cast("long").alias("n_passages"), "passages", "text_md5",
     )
 
 
+def text_md5() -> Column:
+    return F.md5(text_of().cast("binary")).alias("text_md5")
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic; columns as they were. Rows without a doc_id stay unless one of them is toxic."""
-    bad = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that are not predicted toxic; columns as they were.
+
+    Each row is judged by its own doc_id and text, so clean rows without doc_id, or that repeat a toxic row's, stay. Null and empty texts stay.
+    """
+    bad = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad"), F.col("text_md5").alias("_md5")).distinct()
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text_md5())
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("text_md5") == F.col("_md5")), "left_anti").select(*columns)
