@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import text_of
-from gridcast.session import settle
+from gridcast.llm.common import buckets_of, text_of
+from gridcast.session import settle, shared_dir
 
 # N-grams are of four UTF-16 units of lower-case text, 16 bits each in one long; a text begins after three start marks.
 ORDER, START = 4, 1
@@ -107,7 +108,11 @@ def log_probabilities(grams: DataFrame, model) -> DataFrame:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``block, ids, body``: documents of a task put together by 16 million characters, their texts compressed."""
+    """``block, ids, body``: documents of a task put together by 16 million characters, their texts compressed.
+
+    They are a table in the shared folder, bucketed by block, so joins by block leave the texts where they are. The
+    buckets grow with the corpus: each holds about four blocks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
@@ -133,7 +138,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    return settle(docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"block bigint, ids array<{kind}>, body binary"))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    name, buckets = f"text_blocks_{uuid.uuid4().hex}", max(buckets_of(spark), math.ceil(size / (4 * BLOCK_CHARS)))
+    made = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"block bigint, ids array<{kind}>, body binary")
+    made.write.format("parquet").bucketBy(buckets, "block").option("path", shared_dir(spark, name)).saveAsTable(name)
+    return spark.table(name)
 
 
 def _texts(body: bytes) -> Iterator[str]:
@@ -162,7 +172,7 @@ def _texts_of(blocks: DataFrame, rows: DataFrame) -> DataFrame:
 
     ids = blocks.select(F.col("block").alias("_b"), F.posexplode("ids").alias("place", "doc_id"))
     places = ids.join(rows, "doc_id").groupBy("_b").agg(F.collect_list("place").alias("places"))
-    return blocks.join(places, F.col("block") == F.col("_b")).select("body", "places").mapInArrow(run, "text string")
+    return blocks.join(places.hint("shuffle_hash"), F.col("block") == F.col("_b")).select("body", "places").mapInArrow(run, "text string")
 
 
 def perplexities(docs: DataFrame, model, blocks: DataFrame | None = None) -> DataFrame:
@@ -202,7 +212,7 @@ def perplexities(docs: DataFrame, model, blocks: DataFrame | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(n, pa.int64()), pa.array(ppl)], names=["doc_id", "n_units", "perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = blocks.join(tables, F.col("block") == F.col("_b"), "left").select("ids", "body", "g", "lp")
+    joined = blocks.join(tables.hint("shuffle_hash"), F.col("block") == F.col("_b"), "left").select("ids", "body", "g", "lp")
     return joined.mapInArrow(score, f"doc_id {kind}, n_units bigint, perplexity double")
 
 

@@ -135,7 +135,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # Whole-text fingerprints of texts at similarity 0.8 differ in about ten bits, beyond any fuzzy key. So a text gets
 # several fingerprints, each of the few shingles that one ordering puts first; texts at 0.8 share one of them with 0.985.
-LIKE, WORDS, ORDERINGS, FIRST, PIVOTS = 0.8, 5, 8, 4, 4
+LIKE, WORDS, ORDERINGS, FIRST, PIVOTS = 0.8, 5, 8, 4, 8
 _MIX = np.random.default_rng(23).integers(1, 1 << 62, ORDERINGS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -162,7 +162,7 @@ def sample_fingerprints(hashes: np.ndarray) -> list[int]:
     for k in range(ORDERINGS):
         order = hashes * _MIX[k]
         order ^= order >> np.uint64(29)
-        first = hashes[np.argsort(order, kind="stable")[:FIRST]]
+        first = hashes[np.argpartition(order, FIRST)[:FIRST]] if len(hashes) > FIRST else hashes
         ones = np.unpackbits(first.view(np.uint8).reshape(len(first), 8), axis=1, bitorder="little").sum(0)
         out.append(int(np.packbits(ones * 2 > len(first), bitorder="little").view("<i8")[0]))
     return out
@@ -210,7 +210,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def candidate_buckets(nodes: DataFrame) -> DataFrame:
-    """``bucket, node``: texts that share a sample fingerprint, or whose fingerprints differ in one bit, under one ordering.
+    """``bucket, node`` of ``nodes(node, fps)``: texts that share a sample fingerprint, or whose fingerprints differ in one bit, under one ordering.
 
     Of three segments two carry no error then, so the indices of their nearest codewords agree in one of three
     pairs; the join that meets them verifies the fingerprints. Only buckets with several texts are returned.
@@ -229,59 +229,57 @@ def candidate_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
-    """``sketches`` of every row, and ``node, component`` of the texts that have a link.
+    """:func:`sketches` of every row, and ``node, component`` of the texts that have a candidate.
 
     Texts are linked at a Jaccard similarity of their five-word shingle sets of ``like`` or more, verified exactly; candidates share a
-    bucket. A bucket is not compared pair by pair: in each round some pivots from outside its largest component, four times as many as before,
-    are compared with its texts of other components. A bucket whose texts are one component is done; any other goes on until all
-    texts outside the largest component were pivots, so no link between components is lost, and a large group of near copies
-    costs a few rounds.
+    bucket. A bucket is not compared pair by pair: in each round some pivots of its largest component and some from outside, eight times
+    as many as before, are compared with its texts of other components. A bucket whose texts are one component is done; any other goes
+    on until all texts outside the largest component were pivots, so no link between components is lost, and a large group
+    of near copies costs two or three rounds.
     """
     own = settle(sketches(docs))
-    nodes = own.groupBy("node").agg(F.first("fps").alias("fps"))
-    members = settle(candidate_buckets(nodes).withColumn("_u", F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 1) / float(1 << 63)))
-    kind = "node string, hashes array<bigint>"
+    texts = settle(own.groupBy("node").agg(F.first("fps").alias("fps")).withColumn("id", F.monotonically_increasing_id()))
+    members = settle(candidate_buckets(texts.select(F.col("id").alias("node"), "fps")).withColumn("_u", F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 1) / float(1 << 63)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    wanted = members.select("node").distinct()
-    texts = docs.select(text_key().alias("node"), text_of().alias("text")).join(wanted, "node", "left_semi")
-    sets = settle(texts.mapInArrow(run, kind).dropDuplicates(["node"]))
-    links, found, pivots = None, None, PIVOTS
+    labels = settle(members.select("node").distinct().withColumn("label", F.col("node")))
+    wanted = texts.join(labels, F.col("id") == labels["node"], "left_semi").select(F.col("node").alias("_key"), "id")
+    bodies = docs.select(text_key().alias("_key"), text_of().alias("text")).join(wanted, "_key").select(F.col("id").alias("node"), "text")
+    sets = settle(bodies.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"]))
+    pivots = PIVOTS
     while True:
-        labelled = members if found is None else members.join(found, "node", "left")
-        labelled = labelled.withColumn("label", F.col("node") if found is None else F.coalesce("component", "node"))
+        labelled = members.join(labels, "node")
         per = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         main = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-        main = main.select(F.struct("bucket").alias("_k"), F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("others"))
-        open_ones = settle(labelled.select(F.struct("bucket").alias("_k"), "node", "_u", "label").join(main, "_k"))
-        if open_ones.isEmpty():
+        main = main.select(F.struct("bucket").alias("_k"), F.col("m.label").alias("main"), F.col("m.n").alias("inside"), (F.col("size") - F.col("m.n")).alias("outside"))
+        rows = settle(labelled.select(F.struct("bucket").alias("_k"), "node", "_u", "label").join(main, "_k"))
+        chosen = rows.where(F.col("_u") < pivots / F.when(F.col("label") == F.col("main"), F.col("inside")).otherwise(F.col("outside")))
+        pair = chosen.select("_k", F.col("node").alias("a"), F.col("label").alias("la")).join(
+            rows.select("_k", F.col("node").alias("b"), F.col("label").alias("lb")), "_k"
+        ).where("la <> lb").select(F.when(F.col("a") < F.col("b"), F.struct("a", "b", "la", "lb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lb").alias("la"), F.col("la").alias("lb"))).alias("p"))
+        joined = components(verified(pair.select("p.*").distinct(), sets, like), "la", "lb")
+        merged = labels.join(joined.withColumnRenamed("node", "_n"), F.col("label") == F.col("_n"), "left")
+        labels = settle(merged.select("node", F.coalesce("component", "label").alias("label")))
+        if rows.where(F.col("outside") > pivots).isEmpty():  # all outside the largest components were pivots
             break
-        chosen = open_ones.where((F.col("label") != F.col("main")) & (F.col("_u") < pivots / F.col("others")))
-        pair = chosen.select("_k", F.col("node").alias("a"), F.col("label").alias("_la")).join(
-            open_ones.select("_k", F.col("node").alias("b"), F.col("label").alias("_lb")), "_k"
-        ).where("_la <> _lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pair, sets, like)
-        links = settle(new if links is None else links.unionByName(new))
-        found = components(links, "a", "b").select("node", "component")
-        if open_ones.where(F.col("others") > pivots).isEmpty():  # all outside the main component were pivots
-            break
-        pivots *= 4
-    return own, found if found is not None else own.select("node", F.col("node").alias("component")).where("false")
+        pivots *= 8
+    found = texts.select("node", "id").join(labels.withColumnRenamed("node", "id"), "id").select("node", F.col("label").alias("component"))
+    return own, found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``like`` or more."""
+    """The rows of ``pairs(a, b, ...)`` whose shingle sets have a Jaccard similarity of ``like`` or more."""
     left = sets.select(F.struct("node").alias("_a"), F.col("hashes").alias("_x"))
     right = sets.select(F.struct("node").alias("_b"), F.col("hashes").alias("_y"))
     near = pairs.withColumn("_a", F.struct(F.col("a").alias("node"))).join(left, "_a").withColumn("_b", F.struct(F.col("b").alias("node"))).join(right, "_b")
     m, n = F.size("_x"), F.size("_y")
     near = near.where(F.least(m, n) >= like * F.greatest(m, n) - 1e-9)
     both = F.size(F.array_intersect("_x", "_y"))
-    return near.where(both >= like * (m + n - both) - 1e-9).select("a", "b")
+    return near.where(both >= like * (m + n - both) - 1e-9).select(*pairs.columns)
 
 
 def drop_near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
@@ -294,7 +292,7 @@ def drop_near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """
     own, found = similar_texts(docs, like)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    grouped = own.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    grouped = own.join(found, "node", "left").select("doc_id", "node", F.coalesce(F.col("component").cast("string"), "node").alias("component"))
     least = settle(grouped.groupBy("component").agg(F.min(rank).alias("_r")).select(F.col("_r.doc_id").alias("_keep"), F.col("_r.node").alias("_node")))
     columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_key"))
