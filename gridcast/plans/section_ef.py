@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import features, fleet, grid, outliers, splits
 from gridcast.plans.base import (
-    ACTIVITY, BY_FLAG, DAILY, DAY, HOLED, HOUR, HOURLY, LINE, activity, daily, events, filled_sql, grid_sql, holed, hourly,
+    BY_FLAG, DAILY, DAY, HOLED, HOUR, HOURLY, LINE, daily, events, filled_sql, grid_sql, holed, hourly,
     known_sql, query, rounded, shipped_by_flag,
 )
 
@@ -141,12 +141,6 @@ def e14(spark, sf):
     return features.temperature_features(d, "load", features.temperature_knots(d, "load"))
 
 
-@query("e15_training_noise")
-def e15(spark, sf):
-    s = splits.sequential_split(hourly(spark, sf).join(activity(spark, sf), "ts"), HOUR)
-    return features.add_noise(s, {"n_events": 0.5}).select("series_id", "ts", "role", "n_events")
-
-
 @query("e16_value_outliers", rounded(f"""
 WITH {HOURLY}, s AS (SELECT series_id, avg(load) AS m, stddev_samp(load) AS s, count(load) AS n_known FROM hourly GROUP BY ALL),
 o AS (SELECT series_id, ts, load, m - 3 * s AS threshold_low, m + 3 * s AS threshold_high, n_known FROM hourly JOIN s USING (series_id) WHERE n_known >= 10 AND abs(load - m) > 3 * s),

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridcast.operators import baselines, fleet, intervals, learners, metrics, origins, splits, trees
-from gridcast.operators.covariates import fill_covariates, merge_covariates
+from gridcast.operators.covariates import merge_covariates
 from gridcast.operators.grid import chunks
 from gridcast.plans.base import (
-    ACTIVITY, DAILY, DAY, HOUR, HOURLY, METRIC_SQL, activity, daily, filled_sql, hourly, origins_sql, query, rounded, scored_sql,
+    ACTIVITY, DAILY, DAY, HOUR, HOURLY, activity, daily, filled_sql, hourly, origins_sql, query, rounded, scored_sql,
 )
 from gridcast.plans.section_cd import naive, scored, with_future_rows
 from gridcast.plans.section_ef import CHUNKS, SEQ
@@ -89,12 +89,6 @@ def g6_one(spark, sf):
     return fleet.forecast(grid_of(spark, sf), HOUR, "LinearRegression", 1, 3, calendar_static=False)
 
 
-@query("g6_linear_regression")
-def g6(spark, sf):
-    g = grid_of(spark, sf)
-    return metrics.point_metrics(metrics.score(fleet.forecast(g, HOUR, "LinearRegression", 24, 24), g))
-
-
 @query("g7_boosted_trees", f"""
 WITH {HOURLY}, {filled_sql('hourly')}, {origins_sql(24, 24, 24)}
 SELECT series_id, 'GradientBoosting' AS model, origin_ts, h, origin_ts + (h - 1) * INTERVAL 1 HOUR AS ts, true AS in_range FROM origins o {STEPS}""")
@@ -144,18 +138,6 @@ def g9(spark, sf):
     return learners.residual_correction(f, r, ["n_events"], F.col("origin_ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
 
 
-@query("g9_temperature_correction")
-def g9_temperature(spark, sf):
-    from gridcast.operators.features import temperature_knots
-
-    grid, f = naive(spark, sf)
-    r = merge_covariates(grid.drop("_blk", "interpolated"), activity(spark, sf), ["n_events", "max_value"]).fillna(0.0, ["n_events", "max_value"])
-    return learners.residual_correction(
-        f, r, ["n_events", "max_value"], F.col("origin_ts") < F.lit("2024-01-20").cast("timestamp_ntz"),
-        temperature="max_value", knots=temperature_knots(r, "max_value"),
-    )
-
-
 BANDS = f"""early AS (SELECT *, actual - yhat AS e FROM scored WHERE origin_ts < TIMESTAMP '2024-01-20'),
 rq AS (SELECT series_id, h, quantile_cont(e, 0.1) AS r1, quantile_cont(e, 0.5) AS r5, quantile_cont(e, 0.9) AS r9 FROM early GROUP BY ALL),
 banded AS (SELECT s.series_id, s.model, s.origin_ts, s.h, s.ts, s.yhat + r5 AS yhat, s.actual, s.yhat + r1 AS q0_1, s.yhat + r5 AS q0_5, s.yhat + r9 AS q0_9
@@ -284,11 +266,6 @@ def g18(spark, sf):
     return fleet.forward_forecast(with_future_rows(spark, sf), HOUR, 24, "NaiveMean")
 
 
-@query("g18_forward_linear")
-def g18_linear(spark, sf):
-    return fleet.forward_forecast(with_future_rows(spark, sf), HOUR, 6, "LinearRegression")
-
-
 @query("g18_missing_future", f"""
 WITH {HOURLY}, {ACTIVITY}, w AS (SELECT h.series_id, h.ts, CASE WHEN h.ts < TIMESTAMP '2024-01-27' THEN load END AS load, CASE WHEN n_events < 15 THEN n_events END AS n_events FROM hourly h LEFT JOIN activity USING (ts)),
 o AS (SELECT series_id, max(ts) + INTERVAL 1 HOUR AS o FROM w WHERE load IS NOT NULL GROUP BY ALL),

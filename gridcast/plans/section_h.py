@@ -148,11 +148,6 @@ def h15(spark, sf):
     return fleet.backtest(hourly(spark, sf), HOUR, "NaiveSeasonal", 48, 24, stride=12)["metrics"]
 
 
-@query("h15_backtest_intervals")
-def h15_intervals(spark, sf):
-    return fleet.backtest(hourly(spark, sf), HOUR, "LinearRegression", 24, 24, stride=12, levels=[0.1, 0.9])["intervals"]
-
-
 @query("h16_evaluation", rounded(f"WITH {HOURLY}, {scored_sql(fraction=0.0)}, m AS (SELECT series_id, model, h, {METRIC_SQL} FROM scored GROUP BY ALL) SELECT series_id, model, h, n, rmse, mae, mape FROM m", "rmse mae mape"))
 def h16(spark, sf):
     return fleet.evaluate(hourly(spark, sf), HOUR, "NaiveSeasonal", 24, 24)["horizon"]

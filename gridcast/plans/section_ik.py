@@ -93,11 +93,6 @@ def i7(spark, sf):
     return profile.relation_curve(with_shipments(spark, sf), "quantity")
 
 
-@query("i8_scatter_sample")
-def i8(spark, sf):
-    return profile.scatter_sample(with_shipments(spark, sf), "quantity", 500)
-
-
 @query("i9_peak_windows", f"""
 WITH {DAILY}, s AS (SELECT *, {SEASON} AS season, min(ts) OVER (PARTITION BY series_id) AS a, max(ts) OVER (PARTITION BY series_id) AS b FROM daily),
 p AS (SELECT series_id, season, arg_min(ts, (-load, ts)) AS peak_ts, max(load) AS peak_value, min(a) AS a, min(b) AS b FROM s GROUP BY ALL)
