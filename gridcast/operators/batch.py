@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.blocks import SERIES, attach
 from gridcast.functions.time import STEP_SECONDS
 from gridcast.operators import fleet, intervals
+from gridcast.operators.checks import run_guardrails
 from gridcast.session import settle
 from gridcast.sources.models import ModelStore
 
@@ -160,7 +161,7 @@ def evaluate_stored(
 ) -> dict[str, DataFrame]:
     """The blocks of :func:`gridcast.operators.fleet.evaluate` for stored runs over held-out ``readings``, each with ``model_id`` where it has a series.
 
-    ``learn_residuals`` adds what was seen to the stored sketches, so bands follow the newest errors. ``failures`` has runs of another step length.
+    ``learn_residuals`` adds what was seen to the stored sketches, so bands follow the newest errors. ``failures`` has runs of another step length, ``guardrails`` what to mind about each run.
     """
     runs, fits, failures = _by_fit(store, model_ids, step_seconds)
     blocks: dict[str, DataFrame] = {}
@@ -172,4 +173,4 @@ def evaluate_stored(
         for name, block in out.items():
             block = attach(block, own, [SERIES], salts=8) if SERIES in block.columns else block
             blocks[name] = blocks[name].unionByName(block) if name in blocks else block
-    return {**blocks, "failures": failures}
+    return {**blocks, "failures": failures, "guardrails": run_guardrails(runs, readings, step_seconds)}

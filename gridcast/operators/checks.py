@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.blocks import LOAD, SERIES, TS
 from gridcast.functions.time import STEP_SECONDS, epoch, frequency_label, supported
-from gridcast.operators.grid import fill_all, gaps, regular_grid
+from gridcast.operators.grid import fill_all, gaps, off_grid, regular_grid
 from gridcast.operators.outliers import spikes, value_outliers
 from gridcast.sources.catalog import median_gap
 from gridcast.sources.readings import DataLoadError, deduplicate
@@ -239,3 +239,24 @@ def config_warnings(runs: DataFrame) -> DataFrame:
         (F.col("horizon") > F.col("lookback")).alias("horizon_exceeds_lookback"),
         (fine & (F.col("horizon") > MAX_FINE_HORIZON)).alias("many_fine_steps"),
     )
+
+
+def run_guardrails(runs: DataFrame, readings: DataFrame, step_seconds: int) -> DataFrame:
+    """All checks of stored runs against the readings they are to be judged on, one row per run.
+
+    Overlap with the training range, too few steps to score, targets to fill, readings between the steps, an overfitted
+    run, odd settings and covariates that the readings lack. Nothing is refused: a report carries the row beside its figures.
+    """
+    want = runs.select("model_id", SERIES, "lookback")
+    facts = readings.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n")).join(interpolated_targets(readings, step_seconds), SERIES, "left")
+    facts = facts.join(off_grid(readings, step_seconds).select(SERIES, "n_off_grid"), SERIES, "left")
+    week = WEEK_HOURS * 3600 // step_seconds
+    have = F.array(*[F.lit(c) for c in readings.columns])
+    need = F.array_union(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("past_covariates", "future_covariates")])
+    lacking = runs.select("model_id", F.array_join(F.sort_array(F.array_except(need, have)), ",").alias("missing_covariates"))
+    per = want.join(facts, SERIES, "left").select(
+        "model_id", SERIES, (F.col("_n") - F.col("lookback")).alias("usable_steps"), (F.col("_n") - F.col("lookback") < week).alias("short_test"), "n_to_fill", "n_off_grid"
+    )
+    for part in (training_overlap(runs, readings).select("model_id", "overlaps"), overfitting(runs).select("model_id", "overfit"), config_warnings(runs), lacking):
+        per = per.join(part, "model_id", "left")
+    return per

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridcast.operators import batch, fleet, origins
+from gridcast.operators import batch, checks, fleet, origins
 from gridcast.operators.covariates import merge_by_block
-from gridcast.plans.base import ACTIVITY, HOUR, HOURLY, METRIC_SQL, activity, filled_sql, hourly, origins_sql, query, rounded, scored_sql
+from gridcast.operators.grid import off_grid
+from gridcast.plans.base import ACTIVITY, HOUR, HOURLY, METRIC_SQL, activity, filled_sql, hourly, origins_sql, query, raw_events, rounded, scored_sql
 from gridcast.plans.section_ef import SEQ
 from gridcast.plans.section_g import grid_of
 from gridcast.session import shared_dir
@@ -146,3 +147,27 @@ def g16_jobs(spark, sf):
     out = batch.train_jobs(hourly(spark, sf), HOUR, jobs)
     runs = out["runs"].select("series_id", F.col("model_type").alias("model"), "lookback", "horizon", "n_rows", F.lit(None).cast("string").alias("error"))
     return runs.unionByName(out["failures"].withColumn("n_rows", F.lit(None).cast("long")))
+
+
+@query("g12_guardrails", f"""
+WITH {HOURLY}, {scored_sql(fraction=0.0)}, {PARTS},
+m AS (SELECT s.series_id, role, 100 * sqrt(avg((actual - yhat) ** 2)) / avg(actual) AS cv FROM scored s JOIN split p ON p.series_id = s.series_id AND p.ts = s.origin_ts GROUP BY ALL),
+v AS (SELECT series_id, max(cv) FILTER (WHERE role = 'training') AS t, max(cv) FILTER (WHERE role = 'validation') AS c FROM m GROUP BY ALL),
+n AS (SELECT series_id, count(*) AS n FROM hourly GROUP BY ALL), g AS (SELECT series_id, count(*) AS steps, count(*) - count(load) AS n_to_fill FROM grid GROUP BY ALL)
+SELECT series_id, n - 24 AS usable_steps, n - 24 < 168 AS short_test, n_to_fill, 0::BIGINT AS n_off_grid, abs(n - steps) / steps <= 0.10 AS overlaps,
+  coalesce(t > 0 AND c / t > 2, false) AS overfit, false AS horizon_exceeds_lookback, false AS many_fine_steps, '' AS missing_covariates
+FROM n JOIN g USING (series_id) JOIN v USING (series_id)""")
+def g12_guardrails(spark, sf):
+    """What to mind about each stored run before its evaluation on the same readings is believed."""
+    store = ModelStore(spark, shared_dir(spark, "models"))
+    store.save(fleet.train_fleet(hourly(spark, sf), HOUR, "NaiveSeasonal", 24, 24))
+    return checks.run_guardrails(store.runs(), hourly(spark, sf), HOUR).drop("model_id")
+
+
+@query("e1_off_grid", """
+WITH e AS (SELECT event_type AS series_id, floor(epoch(ts))::BIGINT AS s FROM events),
+f AS (SELECT series_id, s % 3600 AS p, arg_min(s % 3600, s) OVER (PARTITION BY series_id) AS first FROM e)
+SELECT series_id, count(*) AS n_readings, count(*) FILTER (WHERE p <> first) AS n_off_grid FROM f GROUP BY ALL""")
+def e1_off_grid(spark, sf):
+    """Readings that a grid of hours, counted from the first reading, leaves out."""
+    return off_grid(raw_events(spark, sf), HOUR)
