@@ -170,7 +170,7 @@ def orthogonal(rows, coef, width: int):
     return d.groupBy("series_id", "h").agg(F.count(F.lit(1)).alias("n_rows"), mean_zero.alias("mean_zero"), every.alias("orthogonal"))
 
 
-@query("g6_linear_regression", f"""
+@query("g6_normal_equations", f"""
 WITH {HOURLY}, {filled_sql('hourly')}, n AS (SELECT series_id, count(*) AS n FROM filled GROUP BY ALL)
 SELECT series_id, h, (greatest(24, floor(n * 0.2::DOUBLE)) - 24 - 24 + 1)::BIGINT AS n_rows, true AS mean_zero, true AS orthogonal FROM n {STEPS}""")
 def g6(spark, sf):
@@ -179,9 +179,10 @@ def g6(spark, sf):
     return orthogonal(rows.select("series_id", "x", "y"), learners.fit_linear(rows, ["series_id"]), 24)
 
 
-@query("g6_regression_metrics", f"""
+@query("g6_linear_regression", f"""
 WITH {HOURLY}, {scored_sql()} SELECT series_id, count(*) AS n, true AS finite FROM scored GROUP BY ALL""")
 def g6_metrics(spark, sf):
+    """24 lags and 24 steps with calendar features, fitted before the first origin, forecast and scored."""
     g = grid_of(spark, sf)
     m = metrics.point_metrics(metrics.score(fleet.forecast(g, HOUR, "LinearRegression", 24, 24), g))
     return m.select("series_id", "n", (F.col("rmse").isNotNull() & (F.col("rmse") < 1e6)).alias("finite"))

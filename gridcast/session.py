@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` is where intermediate tables and streaming
-    checkpoints go, so that they outlive any executor. Only when the cluster
-    names none (tests on one machine) is a temporary folder set.
+    checkpoints go, so that they outlive any executor. Where it is unset, a
+    session on one machine (tests) gets a temporary folder; a cluster must name one.
     """
     return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -42,6 +42,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gridcast-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
