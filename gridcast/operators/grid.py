@@ -11,16 +11,17 @@ from gridcast.functions.blocks import (
 from gridcast.functions.time import epoch, from_epoch
 
 
-def regular_grid(df: DataFrame, step_seconds: int) -> DataFrame:
+def regular_grid(df: DataFrame, step_seconds: int, order: str | None = None) -> DataFrame:
     """Insert the missing times between first and last reading of each series.
 
     Result rows carry ``_blk`` and are already hashed by ``(series_id, _blk)``,
     so the fills that follow need no further shuffle of the rows. Grid points
-    are generated per block, never per series. Of readings at one time the row with the smallest known values stays,
-    whole; readings between the steps are left out and counted by :func:`off_grid`.
+    are generated per block, never per series. Of readings at one time the row that comes first by ``order`` stays, by
+    default that with the smallest known values, whole; readings between the steps are left out and counted by :func:`off_grid`.
     """
     length = block_seconds(step_seconds)
-    values = [c for c in df.columns if c not in (SERIES, TS, BLK)]
+    values = [c for c in df.columns if c not in (SERIES, TS, BLK, order)]
+    carried = values if order is None else [*values, order]
     e = epoch(TS)
     df = df.where(present(SERIES, TS))
     # counting the values keeps this branch on the exchange the rows come from
@@ -36,12 +37,15 @@ def regular_grid(df: DataFrame, step_seconds: int) -> DataFrame:
         F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("_k"),
     ).select(
         SERIES, BLK, from_epoch(F.col("_lo") + F.col("_k") * step_seconds).alias(TS),
-        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in values], F.lit(True).alias("_grid"),
+        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in carried], F.lit(True).alias("_grid"),
     )
     readings = df.select(
-        SERIES, block_of(e, length).alias(BLK), TS, *values, F.lit(False).alias("_grid")
+        SERIES, block_of(e, length).alias(BLK), TS, *carried, F.lit(False).alias("_grid")
     )
     per_time = points.unionByName(readings).repartition(SERIES, BLK).groupBy(SERIES, BLK, TS)
+    if order is not None:  # rows of the grid have no order and give way to any reading
+        rows = per_time.agg(F.min_by(F.struct(*values), order).alias("_row"), F.max("_grid").alias("_grid")).where("_grid")
+        return rows.select(SERIES, BLK, TS, *[F.col("_row")[c].alias(c) for c in values])
     if len(values) < 2:
         return per_time.agg(*[F.min(c).alias(c) for c in values], F.max("_grid").alias("_grid")).where("_grid").drop("_grid")
     ranked = F.struct(*[x for c in values for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))])

@@ -82,6 +82,25 @@ def a6(spark, sf):
     return spark.read.parquet(path).select("series_id", "ts", "load")
 
 
+@query("a6_bucketed_sink", f"WITH {HOURLY} SELECT series_id, ts, load FROM hourly WHERE series_id IN ('click', 'view')")
+def a6_bucketed(spark, sf):
+    """Written by hash buckets; two series are read from their buckets alone."""
+    path = shared_dir(spark, "results")
+    readings.write_bucketed(hourly(spark, sf), path)
+    return readings.read_bucketed(spark, path, ["click", "view"]).select("series_id", "ts", "load")
+
+
+@query("a3_csv_files", """
+SELECT CASE WHEN event_id % 97 <> 0 THEN event_id END AS event_id, event_type, event_id % 97 = 0 AS broken, event_id % 97 = 0 AS kept_as_text FROM events""")
+def a3_files(spark, sf):
+    """CSV files in which some lines have no number where one belongs."""
+    path, broken = shared_dir(spark, "csv"), F.col("event_id") % 97 == 0
+    named = F.when(broken, F.concat(F.lit("no-"), "event_id")).otherwise(F.col("event_id").cast("string"))
+    events(spark, sf).select(named.alias("event_id"), "event_type").write.option("header", True).csv(path)
+    d = readings.read_csv(spark, path, "event_id bigint, event_type string", keep_corrupt=True)
+    return d.select("event_id", "event_type", F.col("event_id").isNull().alias("broken"), F.coalesce(F.col("_corrupt").startswith("no-"), F.lit(False)).alias("kept_as_text"))
+
+
 @query("a7_weather_payload", f"""
 SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, min(value) AS temperature, max(value) AS relative_humidity
 FROM events GROUP BY ALL""")

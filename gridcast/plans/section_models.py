@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import batch, checks, fleet, origins
 from gridcast.operators.covariates import merge_by_block
-from gridcast.operators.grid import off_grid
-from gridcast.plans.base import ACTIVITY, HOUR, HOURLY, METRIC_SQL, activity, filled_sql, hourly, origins_sql, query, raw_events, rounded, scored_sql
+from gridcast.operators.grid import off_grid, regular_grid
+from gridcast.plans.base import ACTIVITY, HOUR, HOURLY, METRIC_SQL, activity, filled_sql, grid_sql, hourly, origins_sql, query, raw_events, rounded, scored_sql
 from gridcast.plans.section_ef import SEQ
 from gridcast.plans.section_g import grid_of
 from gridcast.session import shared_dir
@@ -171,3 +171,11 @@ SELECT series_id, count(*) AS n_readings, count(*) FILTER (WHERE p <> first) AS
 def e1_off_grid(spark, sf):
     """Readings that a grid of hours, counted from the first reading, leaves out."""
     return off_grid(raw_events(spark, sf), HOUR)
+
+
+@query("e1_duplicates", rounded(f"""
+WITH d AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS load FROM events GROUP BY ALL), {grid_sql('d')} SELECT * FROM grid""", "load"))
+def e1_duplicates(spark, sf):
+    """Of the readings of an hour the first by event_id stays."""
+    d = raw_events(spark, sf).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return regular_grid(d.select("series_id", "ts", "load", "event_id"), HOUR, order="event_id")

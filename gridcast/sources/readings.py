@@ -17,9 +17,18 @@ class DataLoadError(ValueError):
     """The input table cannot be used as asked."""
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Scan CSV files with a header; an input without any row is an error."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, keep_corrupt: bool = False) -> DataFrame:
+    """Scan CSV files with a header; an input without any row is an error.
+
+    With ``keep_corrupt`` a line that does not fit the ``schema`` is kept as text in ``_corrupt``, else its cells that do not fit are NULL.
+    """
     reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    if keep_corrupt:
+        if not schema:
+            raise DataLoadError("corrupt lines need a schema")
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     reader = reader.schema(schema) if schema else reader
     df = reader.csv(path)
     if not df.columns or df.isEmpty():
@@ -113,3 +122,26 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[s
     one large series becomes several files written by several tasks and a small one a single file.
     """
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).format(fmt).option("header", True).save(path)
+
+
+# Folders that a bucketed result has, however many series there are.
+RESULT_BUCKETS = 256
+
+
+def result_bucket(series, buckets: int = RESULT_BUCKETS):
+    return F.pmod(F.xxhash64(series), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int = RESULT_BUCKETS, mode: str = "overwrite") -> None:
+    """Write result rows in one folder per hash bucket of the series; a large bucket becomes several files written by several tasks."""
+    rows = df.withColumn("bucket", result_bucket(F.col(SERIES), buckets))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", SERIES).write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str, series: Sequence[str] | None = None, buckets: int = RESULT_BUCKETS) -> DataFrame:
+    """Rows of a bucketed result; of named series only their buckets are read."""
+    df = spark.read.parquet(path)
+    if series is not None:
+        wanted = [r[0] for r in spark.createDataFrame([(s,) for s in series], f"{SERIES} string").select(result_bucket(F.col(SERIES), buckets)).distinct().collect()]
+        df = df.where(F.col("bucket").isin(wanted) & F.col(SERIES).isin(list(series)))
+    return df.drop("bucket")

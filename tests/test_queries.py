@@ -14,7 +14,7 @@ NAMES = (
     "e16_value_outliers", "f2_seasonal_split", "f4_segment_summary", "g4_rolling_seasonal", "g5_moving_average",
     "g6_linear_one_lag", "g8_autoregression", "g10_forecast_bands", "h1_metric_sets", "h4_peak_days",
     "h5_residual_diagnostics", "h8_interval_metrics", "i1_column_statistics", "i5_load_profiles", "k1_live_load",
-    "e15_training_noise", "g7_boosted_trees", "g14_arima_fits", "g16_job_settings", "g17_forward_bands", "g6_one_covariate", "h16_stored_run", "i8_scatter_sample",
+    "a3_csv_files", "a6_bucketed_sink", "e1_duplicates", "e1_off_grid", "e15_training_noise", "g7_boosted_trees", "g14_arima_fits", "g16_job_settings", "g17_forward_bands", "g6_one_covariate", "h16_stored_run", "i8_scatter_sample",
 )
 
 
