@@ -7,6 +7,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -135,7 +136,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # Whole-text fingerprints of texts at similarity 0.8 differ in about ten bits, beyond any fuzzy key. So a text gets
 # several fingerprints, each of the few shingles that one ordering puts first; texts at 0.8 share one of them with 0.985.
-LIKE, WORDS, ORDERINGS, FIRST, PIVOTS = 0.8, 5, 8, 4, 8
+LIKE, WORDS, ORDERINGS, FIRST, PIVOTS, BLOCK = 0.8, 5, 8, 4, 4, 256
 _MIX = np.random.default_rng(23).integers(1, 1 << 62, ORDERINGS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -232,10 +233,11 @@ def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataF
     """:func:`sketches` of every row, and ``node, component`` of the texts that have a candidate.
 
     Texts are linked at a Jaccard similarity of their five-word shingle sets of ``like`` or more, verified exactly; candidates share a
-    bucket. A bucket is not compared pair by pair: in each round some pivots of its largest component and some from outside, eight times
-    as many as before, are compared with its texts of other components. A bucket whose texts are one component is done; any other goes
-    on until all texts outside the largest component were pivots, so no link between components is lost, and a large group
-    of near copies costs two or three rounds.
+    bucket. A bucket is not compared pair by pair. First each text is compared with one anchor; the Jaccard distance is a metric, so
+    texts whose distances to the anchor differ by more than ``1 - like`` cannot be similar. Then, in each round, some pivots of the bucket's
+    largest component, eight times as many as before, and as many from outside it, are compared with the texts outside. A bucket
+    that is one component is done; any other goes on until all its texts were pivots, so no link between components is
+    lost, and a large group of near copies costs a few rounds over the few texts still outside.
     """
     own = settle(sketches(docs))
     texts = settle(own.groupBy("node").agg(F.first("fps").alias("fps")).withColumn("id", F.monotonically_increasing_id()))
@@ -250,36 +252,72 @@ def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataF
     wanted = texts.join(labels, F.col("id") == labels["node"], "left_semi").select(F.col("node").alias("_key"), "id")
     bodies = docs.select(text_key().alias("_key"), text_of().alias("text")).join(wanted, "_key").select(F.col("id").alias("node"), "text")
     sets = settle(bodies.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"]))
-    pivots = PIVOTS
+    key = F.struct("bucket").alias("_k")  # a key of its own, so a large bucket can be split
+    anchors = members.groupBy("bucket").agg(F.min_by("node", "_u").alias("a")).select(key, "a")
+    against = members.select(key, "bucket", "node", "_u").join(anchors, "_k").drop("_k")
+    met = settle(similarities(against.where("a <> node").select("a", F.col("node").alias("b")).distinct(), sets))
+    near = F.struct("a", F.col("node").alias("b"))
+    far = against.withColumn("_p", near).join(met.select(F.struct("a", "b").alias("_q"), "like"), F.col("_p") == F.col("_q"), "left")
+    members = settle(far.select("bucket", "node", "_u", (1 - F.coalesce("like", F.lit(1.0))).alias("_d")))
+    links, pivots = met.where(F.col("like") >= like - 1e-9).select(F.col("a").alias("la"), F.col("b").alias("lb")), PIVOTS
     while True:
+        joined = components(links, "la", "lb").withColumnRenamed("node", "_n")
+        labels = settle(labels.join(joined, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("component", "label").alias("label")))
         labelled = members.join(labels, "node")
         per = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         main = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
-        main = main.select(F.struct("bucket").alias("_k"), F.col("m.label").alias("main"), F.col("m.n").alias("inside"), (F.col("size") - F.col("m.n")).alias("outside"))
-        rows = settle(labelled.select(F.struct("bucket").alias("_k"), "node", "_u", "label").join(main, "_k"))
-        chosen = rows.where(F.col("_u") < pivots / F.when(F.col("label") == F.col("main"), F.col("inside")).otherwise(F.col("outside")))
-        pair = chosen.select("_k", F.col("node").alias("a"), F.col("label").alias("la")).join(
-            rows.select("_k", F.col("node").alias("b"), F.col("label").alias("lb")), "_k"
-        ).where("la <> lb").select(F.when(F.col("a") < F.col("b"), F.struct("a", "b", "la", "lb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lb").alias("la"), F.col("la").alias("lb"))).alias("p"))
-        joined = components(verified(pair.select("p.*").distinct(), sets, like), "la", "lb")
-        merged = labels.join(joined.withColumnRenamed("node", "_n"), F.col("label") == F.col("_n"), "left")
-        labels = settle(merged.select("node", F.coalesce("component", "label").alias("label")))
-        if rows.where(F.col("outside") > pivots).isEmpty():  # all outside the largest components were pivots
+        main = main.select(key, F.col("m.label").alias("main"), F.col("m.n").alias("inside"), (F.col("size") - F.col("m.n")).alias("outside"))
+        rows = settle(labelled.select(key, "node", "_u", "_d", "label").join(main, "_k"))
+        within = F.when(F.col("label") == F.col("main"), F.col("inside")).otherwise(F.col("outside"))
+        links = settle(_links_outside(rows.withColumn("pivot", F.col("_u") < pivots / within), sets, like, pivots))
+        if rows.where((F.col("inside") > pivots) | (F.col("outside") > pivots)).isEmpty():  # every text of every open bucket was a pivot
             break
         pivots *= 8
+    joined = components(links, "la", "lb").withColumnRenamed("node", "_n")
+    labels = labels.join(joined, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("component", "label").alias("label"))
     found = texts.select("node", "id").join(labels.withColumnRenamed("node", "id"), "id").select("node", F.col("label").alias("component"))
     return own, found
 
 
-def verified(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFrame:
-    """The rows of ``pairs(a, b, ...)`` whose shingle sets have a Jaccard similarity of ``like`` or more."""
+def _links_outside(rows: DataFrame, sets: DataFrame, like: float, pivots: int) -> DataFrame:
+    """``la, lb``: labels that a bucket's pivots and its texts outside the largest component link.
+
+    Pivots and outside texts are dealt into blocks of about ``BLOCK``; each block of the one meets each of the other in a task that
+    holds both, so a text's shingles move once for each block it meets, not for each pair. A block returns linked labels, never pairs.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.least(F.lit(2.0 * pivots), F.col("inside") + F.col("outside")) / BLOCK)).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("outside") / BLOCK)).cast("int")
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    wanted = rows.where(F.col("pivot") | (F.col("label") != F.col("main"))).join(sets, "node")
+    columns = [F.col("_k.bucket").alias("bucket"), "node", "label", "_d", "hashes"]
+    left = wanted.where("pivot").select(*columns, F.lit(True).alias("side"), deal(parts, 5).alias("p"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c"))
+    right = wanted.where("label <> main").select(*columns, F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), deal(chunks, 6).alias("c"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        a, b = block[block["side"]], block[~block["side"]]
+        found = set()
+        others = list(zip(b["label"], b["_d"], map(set, b["hashes"]), strict=True))
+        for la, da, x in zip(a["label"], a["_d"], map(set, a["hashes"]), strict=True):
+            for lb, db, y in others:
+                if la == lb or abs(da - db) > 1 - like + 1e-9 or (la, lb) in found or min(len(x), len(y)) < like * max(len(x), len(y)) - 1e-9:
+                    continue
+                both = len(x & y)
+                if both >= like * (len(x) + len(y) - both) - 1e-9:
+                    found.add((la, lb))
+        return pd.DataFrame(list(found), columns=["la", "lb"]).astype("int64")
+
+    return left.unionByName(right).groupBy("bucket", "p", "c").applyInPandas(compare, "la bigint, lb bigint").distinct()
+
+
+def similarities(pairs: DataFrame, sets: DataFrame, least: float = 0.0) -> DataFrame:
+    """``pairs(a, b, ...)`` with ``like``, the Jaccard similarity of their shingle sets, where it is ``least`` or more."""
     left = sets.select(F.struct("node").alias("_a"), F.col("hashes").alias("_x"))
     right = sets.select(F.struct("node").alias("_b"), F.col("hashes").alias("_y"))
     near = pairs.withColumn("_a", F.struct(F.col("a").alias("node"))).join(left, "_a").withColumn("_b", F.struct(F.col("b").alias("node"))).join(right, "_b")
     m, n = F.size("_x"), F.size("_y")
-    near = near.where(F.least(m, n) >= like * F.greatest(m, n) - 1e-9)
+    near = near.where(F.least(m, n) >= least * F.greatest(m, n) - 1e-9)
     both = F.size(F.array_intersect("_x", "_y"))
-    return near.where(both >= like * (m + n - both) - 1e-9).select(*pairs.columns)
+    return near.select(*pairs.columns, F.coalesce(both / (m + n - both), F.lit(1.0)).alias("like")).where(F.col("like") >= least - 1e-9)
 
 
 def drop_near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
