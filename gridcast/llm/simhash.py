@@ -235,7 +235,7 @@ def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataF
     Texts are linked at a Jaccard similarity of their five-word shingle sets of ``like`` or more, verified exactly; candidates share a
     bucket. A bucket is not compared pair by pair. First each text is compared with one anchor; the Jaccard distance is a metric, so
     texts whose distances to the anchor differ by more than ``1 - like`` cannot be similar. Then, in each round, some pivots of the bucket's
-    largest component, eight times as many as before, and as many from outside it, are compared with the texts outside. A bucket
+    largest component, 32 times as many as before, and as many from outside it, are compared with the texts outside. A bucket
     that is one component is done; any other goes on until all its texts were pivots, so no link between components is
     lost, and a large group of near copies costs a few rounds over the few texts still outside.
     """
@@ -272,7 +272,7 @@ def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataF
         links = settle(_links_outside(rows.withColumn("pivot", F.col("_u") < pivots / within), sets, like, pivots))
         if rows.where((F.col("inside") > pivots) | (F.col("outside") > pivots)).isEmpty():  # every text of every open bucket was a pivot
             break
-        pivots *= 8
+        pivots *= 32
     joined = components(links, "la", "lb").withColumnRenamed("node", "_n")
     labels = labels.join(joined, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("component", "label").alias("label"))
     found = texts.select("node", "id").join(labels.withColumnRenamed("node", "id"), "id").select("node", F.col("label").alias("component"))
@@ -296,8 +296,8 @@ def _links_outside(rows: DataFrame, sets: DataFrame, like: float, pivots: int) -
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         a, b = block[block["side"]], block[~block["side"]]
         found = set()
-        others = list(zip(b["label"], b["_d"], map(set, b["hashes"]), strict=True))
-        for la, da, x in zip(a["label"], a["_d"], map(set, a["hashes"]), strict=True):
+        others = [(lb, db, set(y.tolist())) for lb, db, y in zip(b["label"].tolist(), b["_d"].tolist(), b["hashes"], strict=True)]
+        for la, da, x in zip(a["label"].tolist(), a["_d"].tolist(), (set(x.tolist()) for x in a["hashes"]), strict=True):
             for lb, db, y in others:
                 if la == lb or abs(da - db) > 1 - like + 1e-9 or (la, lb) in found or min(len(x), len(y)) < like * max(len(x), len(y)) - 1e-9:
                     continue
