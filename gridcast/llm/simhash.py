@@ -136,7 +136,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # Whole-text fingerprints of texts at similarity 0.8 differ in about ten bits, beyond any fuzzy key. So a text gets
 # several fingerprints, each of the few shingles that one ordering puts first; texts at 0.8 share one of them with 0.985.
-LIKE, WORDS, ORDERINGS, FIRST, PIVOTS, BLOCK = 0.8, 5, 8, 4, 4, 256
+LIKE, WORDS, ORDERINGS, FIRST, PIVOTS, BLOCK = 0.8, 5, 8, 4, 32, 256
 _MIX = np.random.default_rng(23).integers(1, 1 << 62, ORDERINGS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -234,10 +234,9 @@ def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataF
 
     Texts are linked at a Jaccard similarity of their five-word shingle sets of ``like`` or more, verified exactly; candidates share a
     bucket. A bucket is not compared pair by pair. First each text is compared with one anchor; the Jaccard distance is a metric, so
-    texts whose distances to the anchor differ by more than ``1 - like`` cannot be similar. Then, in each round, some pivots of the bucket's
-    largest component, 32 times as many as before, and as many from outside it, are compared with the texts outside. A bucket
-    that is one component is done; any other goes on until all its texts were pivots, so no link between components is
-    lost, and a large group of near copies costs a few rounds over the few texts still outside.
+    texts whose distances to the anchor differ by more than ``1 - like`` cannot be similar. Then some pivots with the bucket's
+    commonest label, and some without, are compared with its texts of other labels, and at last all with those that still have
+    other labels. So no link between components is lost, and a large group of near copies is compared with few of its texts.
     """
     own = settle(sketches(docs))
     texts = settle(own.groupBy("node").agg(F.first("fps").alias("fps")).withColumn("id", F.monotonically_increasing_id()))
@@ -259,26 +258,32 @@ def similar_texts(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataF
     near = F.struct("a", F.col("node").alias("b"))
     far = against.withColumn("_p", near).join(met.select(F.struct("a", "b").alias("_q"), "like"), F.col("_p") == F.col("_q"), "left")
     members = settle(far.select("bucket", "node", "_u", (1 - F.coalesce("like", F.lit(1.0))).alias("_d")))
-    links, pivots = met.where(F.col("like") >= like - 1e-9).select(F.col("a").alias("la"), F.col("b").alias("lb")), PIVOTS
-    while True:
-        joined = components(links, "la", "lb").withColumnRenamed("node", "_n")
-        labels = settle(labels.join(joined, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("component", "label").alias("label")))
+    links = met.where(F.col("like") >= like - 1e-9).select(F.col("a").alias("la"), F.col("b").alias("lb"))
+    labels = settle(_one_hop(labels, links))
+    for pivots in (PIVOTS, 1 << 62):  # the second time every text is a pivot
         labelled = members.join(labels, "node")
         per = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         main = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
         main = main.select(key, F.col("m.label").alias("main"), F.col("m.n").alias("inside"), (F.col("size") - F.col("m.n")).alias("outside"))
         rows = settle(labelled.select(key, "node", "_u", "_d", "label").join(main, "_k"))
         within = F.when(F.col("label") == F.col("main"), F.col("inside")).otherwise(F.col("outside"))
-        links = settle(_links_outside(rows.withColumn("pivot", F.col("_u") < pivots / within), sets, like, pivots))
-        if rows.where((F.col("inside") > pivots) | (F.col("outside") > pivots)).isEmpty():  # every text of every open bucket was a pivot
-            break
-        pivots *= 32
-    joined = components(links, "la", "lb").withColumnRenamed("node", "_n")
-    labels = labels.join(joined, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("component", "label").alias("label"))
+        new = settle(_links_outside(rows.withColumn("pivot", F.col("_u") < float(pivots) / within), sets, like, pivots))
+        links = links.unionByName(new)
+        labels = settle(_one_hop(labels, new))
+    every = links.unionByName(labels.select(F.col("node").alias("la"), F.col("label").alias("lb")))
+    joined = components(settle(every), "la", "lb").withColumnRenamed("node", "_n")
+    labels = labels.join(joined, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "node").alias("label"))
     found = texts.select("node", "id").join(labels.withColumnRenamed("node", "id"), "id").select("node", F.col("label").alias("component"))
     return own, found
 
 
+def _one_hop(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Every label replaced by the smallest one linked to it: equal labels mean one component, though not the other way round."""
+    both = links.select("la", "lb").unionByName(links.select(F.col("lb").alias("la"), F.col("la").alias("lb")))
+    least = both.groupBy("la").agg(F.min("lb").alias("_least"))
+    return labels.join(least, F.col("label") == F.col("la"), "left").select("node", F.least("label", F.coalesce("_least", "label")).alias("label"))
+
+
 def _links_outside(rows: DataFrame, sets: DataFrame, like: float, pivots: int) -> DataFrame:
     """``la, lb``: labels that a bucket's pivots and its texts outside the largest component link.
 
