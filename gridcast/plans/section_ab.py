@@ -26,8 +26,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 ) + """), g(relative_path, n_rows, min_ts, max_ts) AS (SELECT * FROM f)
 SELECT *, 'parquet' AS format, (SELECT count(*) FROM g) AS n_total, false AS truncated FROM g""")
 def a1(spark, sf):
-    files = catalog.list_datasets(spark, sf).join(catalog.file_rows(spark, sf), "relative_path", "left")
-    times = catalog.profile_files(events(spark, sf), "ts", sf).select(F.col("file").alias("relative_path"), "min_ts", "max_ts")
+    """One row per dataset, a Parquet file or a folder of part files."""
+    files = catalog.list_datasets(spark, sf).join(catalog.file_rows(spark, sf), ["relative_path", "format"], "left")
+    times = catalog.time_ranges(events(spark, sf), "ts", sf).select("relative_path", "min_ts", "max_ts")
     return files.join(times, "relative_path", "left").select("relative_path", "format", "n_rows", "min_ts", "max_ts", "n_total", "truncated")
 
 

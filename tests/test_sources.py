@@ -3,15 +3,18 @@
 import os
 from datetime import datetime
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from __spark_entry__ import oracle_sql, queries
 from gridcast.operators import checks, covariates, features, intervals, outliers, profile, reports, roles, splits, timefilter
 from gridcast.sources import catalog, readings, registry, weather
 from tests.helpers import frame, holed_series, pandas_of
+from tests.oracle import TABLES, compare
 
 HOUR = 3600
 
@@ -39,6 +42,39 @@ def test_catalog_lists_and_profiles_files(spark, tmp_path):
     assert p["max_ts"] == datetime(2024, 1, 10, 23)
 
 
+def test_folders_of_part_files_are_one_dataset(spark, tmp_path):
+    root = tmp_path / "data"
+    rows = spark.range(12).select("id", F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("ts"), (F.col("id") % 2).alias("k"))
+    rows.repartition(3, "id").write.parquet(str(root / "a b+c%20.parquet"))     # spread by hash: only all files together are hourly
+    rows.write.partitionBy("k").parquet(str(root / "sub/data/results"))         # keys in folders, no suffix
+    rows.coalesce(1).write.option("header", True).csv(str(root / "sub/t.csv"))
+    for p in ("one.parquet", "sub/data/one.parquet"):                            # the directory's name again below it
+        rows.limit(5).toPandas().to_parquet(root / p)
+    (root / "a b+c%20.parquet/venv").mkdir()
+    (root / "a b+c%20.parquet/venv/x.parquet").write_bytes((root / "one.parquet").read_bytes())
+    listed = catalog.list_datasets(spark, f"file://{root}").join(catalog.file_rows(spark, f"file://{root}"), ["relative_path", "format"], "left").collect()
+    want = {"a b+c%20.parquet": 12, "one.parquet": 5, "sub/data/one.parquet": 5, "sub/data/results": 12, "sub/t.csv": None}
+    assert {r["relative_path"]: r["n_rows"] for r in listed} == want and {r["n_total"] for r in listed} == {5}
+    sizes = {r["relative_path"]: r["size_bytes"] for r in listed}
+    assert sizes["sub/data/results"] == sum(p.stat().st_size for p in (root / "sub/data/results").rglob("part-*"))
+    direct = ["a b+c%20.parquet", "one.parquet"]
+    assert [r["relative_path"] for r in catalog.list_datasets(spark, str(root), recursive=False).collect()] == direct
+    assert [r["relative_path"] for r in catalog.list_datasets(spark, str(root / "sub/data/results")).collect()] == ["."]
+    scan = spark.read.parquet(str(root / direct[0]))
+    for directory in (None, str(root)):
+        p = catalog.profile_files(scan, "ts", directory).collect()
+        assert [(r["file"], r["n_rows"], r["max_ts"], r["frequency"]) for r in p] == [(direct[0], 12, datetime(1970, 1, 1, 11), "h")]
+
+
+def test_catalog_query_counts_tables_in_parts(spark, tmp_path):
+    con = duckdb.connect()
+    for t in TABLES:
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").repartition(2).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("a1_dataset_catalog", "a2_dataset_profile"):
+        assert compare(spark, con, queries()[name], oracle_sql()[name], str(tmp_path)) is None
+
+
 def test_empty_csv_is_an_error(spark, tmp_path):
     (tmp_path / "e.csv").write_text("a,b\n")
     with pytest.raises(readings.DataLoadError):
