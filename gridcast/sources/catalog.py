@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,9 +58,11 @@ def list_datasets(
 def relative_path(path: Column, directory: str) -> Column:
     """The scan's ``_metadata.file_path`` below ``directory``, decoded; the whole path if it is elsewhere.
 
-    An absolute directory is the first place in the path where it stands, so folders below may repeat its name.
+    An absolute directory is the first place in the path where it stands, so folders below may repeat its name. The scan
+    names no ``.`` and ``..`` of the directory.
     """
     root = re.sub("/+", "/", re.sub("^[A-Za-z][A-Za-z0-9+.-]*:", "", directory) + "/")
+    root = re.sub(r"^(\.\./)+", "", posixpath.normpath(root).rstrip("/") + "/")
     # a plus sign stands for itself in the URL form of a path
     plain = F.when(path.contains("%"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
     if not root.startswith("/"):
@@ -106,10 +109,13 @@ def placed(files: DataFrame, directory: str | None) -> DataFrame:
 def file_rows(spark: SparkSession, directory: str) -> DataFrame:
     """``relative_path, format, n_rows`` of every Parquet dataset under a directory, whatever its columns: the scan reads no column.
 
-    Files are summed up before they are placed; as a filter, ``listed`` would be asked for every row.
+    Files are summed up before they are placed; as a filter, ``listed`` would be asked for every row. Files without rows
+    yield none to a scan, so the file listing adds them with 0.
     """
     rows = spark.read.schema("none int").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(directory)
     files = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(directory)
+    files = files.unionByName(there.select(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("long").alias("n")))
     return placed(files, directory).groupBy("relative_path", F.lit("parquet").alias("format")).agg(F.sum(F.when(F.col("listed"), F.col("n"))).alias("n_rows"))
 
 

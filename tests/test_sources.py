@@ -75,6 +75,17 @@ def test_catalog_query_counts_tables_in_parts(spark, tmp_path):
         assert compare(spark, con, queries()[name], oracle_sql()[name], str(tmp_path)) is None
 
 
+def test_catalog_query_counts_empty_tables_below_any_spelling_of_the_path(spark, tmp_path):
+    con = duckdb.connect()
+    (tmp_path / "data").mkdir()
+    for t in TABLES:
+        kept = "false" if t in ("events", "labels") else "true"
+        con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{t}.parquet' WHERE {kept}) TO '{tmp_path}/data/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/data/{t}.parquet'")
+    for path in (f"{tmp_path}/data", f"{tmp_path}/data/../data/.", f"file://{tmp_path}/./data/"):
+        assert compare(spark, con, queries()["a1_dataset_catalog"], oracle_sql()["a1_dataset_catalog"], path) is None
+
+
 def test_empty_csv_is_an_error(spark, tmp_path):
     (tmp_path / "e.csv").write_text("a,b\n")
     with pytest.raises(readings.DataLoadError):
